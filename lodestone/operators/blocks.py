@@ -17,10 +17,6 @@ from pyspark.sql import functions as F
 from lodestone.session import stage
 
 BLOCK_ROWS = 65_536
-# A key is hot when it holds more than 1/HOT_SHARE of the rows, so there are
-# fewer than HOT_SHARE hot keys whatever the data.
-HOT_SHARE = 256
-SALTS = 256
 
 
 def block_of(seq: Column, rows: int = BLOCK_ROWS) -> Column:
@@ -83,50 +79,19 @@ def running_sum(
         blocked.withColumn(
             "_in", F.sum("_v").over(inside.rowsBetween(Window.unboundedPreceding, 0))
         )
-        .join(carried, [*keys, "_blk"])
+        .join(carried, [*keys, "_blk"], "left")
         .withColumn(out, F.col("_in") + F.col("_before"))
         .drop("_v", "_in", "_before", "_blk")
     )
 
 
-def lookup(
-    many: DataFrame,
-    one: DataFrame,
-    on: Sequence[str],
-    spread: Sequence[str],
-    how: str = "left",
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join many rows to a table that is unique on ``on``, with hot keys split.
+def lookup(many: DataFrame, one: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Join many rows to a table that is unique on ``on``.
 
-    Keys holding more than 1/HOT_SHARE of the rows (found by an exact count of
-    the key columns; fewer than HOT_SHARE of them) are spread over ``salts``
-    tasks by a hash of ``spread``, and only their partner rows are replicated.
+    A key with a third of the rows makes one skewed shuffle partition. Adaptive
+    execution splits such a partition of the many side by map output and hands
+    each piece its copy of the (one-row-per-key) partner, so a plain join holds;
+    :func:`lodestone.session.configure` forces that split even where it costs a
+    further shuffle. ``many`` must be the left side: outer joins split that one.
     """
-    on = list(on)
-    total = many.agg(F.count("*").alias("n"))
-    hot = (
-        many.groupBy(*on)
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") * HOT_SHARE > total.scalar())
-        .select(*on, F.lit(True).alias("_hot"))
-    )
-    tagged = (
-        many.join(F.broadcast(hot), on, "left")
-        .withColumn(
-            "_salt",
-            F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0)).cast("int"),
-        )
-        .drop("_hot")
-    )
-    replicated = (
-        one.join(F.broadcast(hot), on, "left")
-        .withColumn(
-            "_salt",
-            F.explode(
-                F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-            ),
-        )
-        .drop("_hot")
-    )
-    return tagged.join(replicated, [*on, "_salt"], how).drop("_salt")
+    return many.join(one, list(on), how)

@@ -61,7 +61,7 @@ def adjacent_runs(events: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return (
         marked.withColumn("_in_first", F.max(start).over(upto))
         .withColumn("_in_next", F.min(start).over(after))
-        .join(carried, ["session_id", "_blk"])
+        .join(carried, ["session_id", "_blk"], "left")
         .withColumn("run_first_seq", F.coalesce("_in_first", "_open"))
         .withColumn("run_last_seq", F.coalesce(F.coalesce("_in_next", "_next") - 1, F.col("_end")))
         .drop("_blk", "_start", "_in_first", "_in_next", "_open", "_next", "_end")

@@ -121,8 +121,8 @@ def collapse_copies(matches: DataFrame, families: DataFrame, first_seen: DataFra
     holders keeps all its copies. Returns the surviving matches, with
     ``copy_key`` set where copies were dropped, and the rows that were dropped.
     """
-    held = lookup(matches, families.select("session_id", "family_key"), ["session_id"], ["session_id", "seq"])
-    held = lookup(held, first_seen.select("session_id", "first_timestamp"), ["session_id"], ["session_id", "seq"])
+    held = lookup(matches, families.select("session_id", "family_key"), ["session_id"])
+    held = lookup(held, first_seen.select("session_id", "first_timestamp"), ["session_id"])
     shared = (
         held.filter(F.col("family_key").isNotNull() & F.col("identity_key").isNotNull())
         .groupBy("family_key", "identity_key")
@@ -134,7 +134,7 @@ def collapse_copies(matches: DataFrame, families: DataFrame, first_seen: DataFra
         .filter(F.col("_lo") != F.col("_hi"))
         .select("family_key", "identity_key", F.col("_a.session_id").alias("anchor_session"))
     )
-    judged = lookup(held, shared, ["family_key", "identity_key"], ["session_id", "seq"])
+    judged = lookup(held, shared, ["family_key", "identity_key"])
     survives = F.col("anchor_session").isNull() | (F.col("anchor_session") == F.col("session_id"))
     kept = judged.filter(survives).withColumn(
         "copy_key", F.when(F.col("anchor_session").isNotNull(), F.col("identity_key"))

@@ -206,7 +206,7 @@ def resolve_parents(sessions: DataFrame, parent: str = "subagent_parent") -> Dat
     known = sessions.groupBy("harness_id", F.col("source_session_id").alias(parent)).agg(
         F.min("session_id").alias("parent_session")
     )
-    linked = lookup(sessions.filter(F.col(parent).isNotNull()), known, ["harness_id", parent], ["session_id"])
+    linked = lookup(sessions.filter(F.col(parent).isNotNull()), known, ["harness_id", parent])
     return linked.withColumn("resolved", F.col("parent_session").isNotNull()).withColumn(
         "parent", F.coalesce("parent_session", parent)
     ).drop("parent_session")
