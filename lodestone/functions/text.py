@@ -341,3 +341,9 @@ def word_rank(text: Column, terms: Sequence[str]) -> Column:
     for t in terms:
         total = total + occurrences(text, t, True)
     return (-total).cast("double")
+
+
+def line_text(text: Column, width: int = EXCERPT_WIDTH) -> Column:
+    """An excerpt without terms: the start of the one-line form."""
+    line = one_line(text)
+    return F.when(F.length(line) > width, F.concat(F.substring(line, 1, width), F.lit("…"))).otherwise(line)
