@@ -18,15 +18,14 @@ def text_at(value: Column, path: str) -> Column:
 
 
 def object_at(value: Column, path: str) -> Column:
-    found = F.try_variant_get(value, path, "variant")
-    return F.when(F.startswith(F.schema_of_variant(found), F.lit("OBJECT")), found)
+    # only an object casts to a map; its schema would be read to the last leaf
+    is_map = F.try_variant_get(value, path, "map<string,variant>").isNotNull()
+    return F.when(is_map, F.try_variant_get(value, path, "variant"))
 
 
 def items_at(value: Column, path: str) -> Column:
     """The array at ``path`` as ``array<variant>``, NULL for anything else."""
-    return F.when(
-        F.startswith(kind_of(value, path), F.lit("ARRAY")), F.try_variant_get(value, path, "array<variant>")
-    )
+    return F.try_variant_get(value, path, "array<variant>")
 
 
 def true_at(value: Column, path: str) -> Column:
@@ -35,19 +34,23 @@ def true_at(value: Column, path: str) -> Column:
     )
 
 
-def json_object(raw: Column) -> Column:
+def bracketed(raw: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
+
+
+def json_object(raw: Column, listed: Column | None = None) -> Column:
     """A whole line as a JSON object, NULL if it is anything else.
 
     The variant parser stops after the first value. Inside brackets whatever
     follows is an error or a second element; the one string that still slips
     through, a value followed by ``]``, is caught by braces instead.
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
+    listed = bracketed(raw) if listed is None else listed
     first = F.try_variant_get(listed, "$[0]", "variant")
     alone = F.try_variant_get(listed, "$[1]", "variant").isNull()
     braced = F.try_parse_json(F.concat(F.lit('{"v":'), raw, F.lit("}"))).isNotNull()
     whole = F.when(raw.rlike(r"\}\s*\]"), braced).otherwise(F.lit(True))
-    return F.when(alone & whole & F.startswith(F.schema_of_variant(first), F.lit("OBJECT")), first)
+    return F.when(alone & whole & raw.rlike(r"^\s*\{"), first)
 
 
 def unless_default(value: Column, default) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lodestone.session import stage
 
-BLOCK_ROWS = 65_536
+BLOCK_ROWS = 16_384
 
 
 def block_of(seq: Column, rows: int = BLOCK_ROWS) -> Column:

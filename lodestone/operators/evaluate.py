@@ -16,6 +16,9 @@ def phrase_matches(queries: DataFrame, events: DataFrame) -> DataFrame:
     as whole words; a phrase of fewer than three words uses its three-character
     pieces. The text itself decides last.
     """
+    # copies of a phrase are looked up once
+    asked = queries.select(F.col("query_id").alias("_asked"), F.sha2("text", 256).alias("query_id"))
+    queries = queries.select(F.sha2("text", 256).alias("query_id"), "text").distinct()
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     inner = F.when(F.size("_w") >= 3, F.slice("_w", F.lit(2), F.size("_w") - 2))
     q = queries.filter(F.length("text") > 0).withColumn("_w", F.split("text", r"\s+")).withColumn("_inner", inner)
@@ -45,15 +48,16 @@ def phrase_matches(queries: DataFrame, events: DataFrame) -> DataFrame:
 
     word_postings = events.select("session_id", "seq", F.explode(F.array_distinct(words(F.col("text")))).alias("anchor"))
     found = matched(by_word, word_postings)
+    named = lambda df: df.join(asked, "query_id").drop("query_id").withColumnRenamed("_asked", "query_id")
     if short.isEmpty():
-        return found
+        return named(found)
     pieces = lambda c: F.transform(
         F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(c, i, F.lit(3))
     )
     ok = F.assert_true(F.length("text") >= 3, F.lit("a phrase needs three characters")).isNull()
     by_piece = short.filter(ok).select("query_id", "text", F.explode(F.array_distinct(pieces(F.col("text")))).alias("anchor"))
     piece_postings = events.select("session_id", "seq", F.explode(F.array_distinct(pieces(F.col("text")))).alias("anchor"))
-    return found.unionByName(matched(by_piece, piece_postings))
+    return named(found.unionByName(matched(by_piece, piece_postings)))
 
 
 def retrieval_eval(expected: DataFrame, returned: DataFrame, queries: DataFrame) -> DataFrame:

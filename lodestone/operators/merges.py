@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.blocks import dense_seq, lookup
+from lodestone.session import stage
 
 LEDGER_KEY = ["unit", "epoch", "deleted_at", "replica"]
 
@@ -89,6 +90,7 @@ def reconcile_ledgers(local: DataFrame, remote: DataFrame, renumber: bool = Fals
     fresh = events_beyond(local, remote).join(
         remote.select("unit", "epoch").distinct(), ["unit", "epoch"], "left_anti"
     ).select(*LEDGER_KEY)
+    fresh = stage(fresh, "pending")
     kept = local.join(fresh, LEDGER_KEY, "left_anti").select(*LEDGER_KEY)
     top = remote.agg(F.coalesce(F.max("epoch"), F.lit(0)).alias("m"))
     lowest = fresh.agg(F.min("epoch").alias("m"))

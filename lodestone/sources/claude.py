@@ -72,8 +72,8 @@ def has_block(message: Column, kind: str) -> Column:
     return F.exists(blocks(message), lambda b: F.coalesce(text_at(b, "$.type") == kind, F.lit(False)))
 
 
-def record_kind(value: Column) -> Column:
-    kind, message = text_at(value, "$.type"), object_at(value, "$.message")
+def record_kind(value: Column, message: Column) -> Column:
+    kind = text_at(value, "$.type")
     return (
         F.when(kind == "user", F.when(has_block(message, "tool_result"), F.lit("tool_result")).otherwise(F.lit("message")))
         .when(kind == "assistant", F.when(has_block(message, "tool_use"), F.lit("tool_call")).otherwise(F.lit("message")))
@@ -113,11 +113,11 @@ def touch(operation: Column, path: Column) -> Column:
     )
 
 
-def file_touches(value: Column) -> Column:
+def file_touches(value: Column, message: Column) -> Column:
     """Reads of the Read tool, then the file a tool result says it wrote."""
     reads = F.transform(
         F.filter(
-            blocks(object_at(value, "$.message")),
+            blocks(message),
             lambda b: (text_at(b, "$.type") == "tool_use")
             & (text_at(b, "$.name") == "Read")
             & text_at(b, "$.input.file_path").isNotNull(),
@@ -155,13 +155,14 @@ def normalize(lines: DataFrame, sidecars: DataFrame | None = None) -> DataFrame:
         )
     else:
         located = located.withColumn("subagent_type", F.lit(None).cast("string"))
-    numbered = event_seq(located, ["is_sub", "bundle_path"])
-    message = object_at(value, "$.message")
+    numbered = event_seq(located, ["is_sub", "bundle_path"]).withColumn("message", object_at(value, "$.message"))
+    message = F.col("message")
     title_text, label_source = title(value)
     agent = F.when(
         F.col("is_sub"), F.regexp_extract("file", r"/agent-([^/]*)\.jsonl$", 1)
     ).otherwise(inline_subagent(value))
-    kind = F.when(value.isNull(), F.lit("unknown")).otherwise(record_kind(value))
+    numbered = numbered.withColumn("_kind", F.when(value.isNull(), F.lit("unknown")).otherwise(record_kind(value, message)))
+    kind = F.col("_kind")
     user = text_at(value, "$.type") == "user"
     source_event_id, stamp = text_at(value, "$.uuid"), text_at(value, "$.timestamp")
     text = F.coalesce(title_text, message_text(message))
@@ -182,7 +183,7 @@ def normalize(lines: DataFrame, sidecars: DataFrame | None = None) -> DataFrame:
         timestamp=stamp,
         text=text,
         tool_names=F.when(kind == "tool_call", tool_names(message)).otherwise(F.array().cast("array<string>")),
-        file_touches=F.when(whole, file_touches(value)).otherwise(
+        file_touches=F.when(whole, file_touches(value, message)).otherwise(
             F.array().cast("array<struct<operation:string,source_path:string,normalized_path:string>>")
         ),
         subagent_id=F.when(whole, agent),

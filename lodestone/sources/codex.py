@@ -11,6 +11,7 @@ from lodestone.functions.paths import TRANSCRIPT, basename
 from lodestone.functions.secrets import session_label_text
 from lodestone.functions.text import SPACE
 from lodestone.operators.mirror import mirrored
+from lodestone.session import stage
 from lodestone.sources.claude import first_candidates, touch
 from lodestone.sources.jsonl import event_seq, read_jsonl
 from lodestone.sources.tables import canonical
@@ -84,10 +85,19 @@ def patch_touches(payload: Column) -> Column:
     )
 
 
-def record_columns(value: Column) -> dict[str, Column]:
-    """Kind, role, text, id, tools, touches and arguments of one record."""
-    payload = object_at(value, "$.payload")
-    record, item = text_at(value, "$.type"), text_at(payload, "$.type")
+def opened(lines: DataFrame) -> DataFrame:
+    """Lines with their payload and the two type names as columns, read once."""
+    return (
+        lines.withColumn("payload", object_at(F.col("value"), "$.payload"))
+        .withColumn("record", text_at(F.col("value"), "$.type"))
+        .withColumn("item", text_at(F.col("payload"), "$.type"))
+    )
+
+
+def record_columns() -> dict[str, Column]:
+    """Kind, role, text, id, tools, touches and arguments of an opened record."""
+    value, payload = F.col("value"), F.col("payload")
+    record, item = F.col("record"), F.col("item")
     response = (record == "response_item") & payload.isNotNull()
     message = (record == "event_msg") & payload.isNotNull()
     is_item = lambda *t: response & item.isin(*t)
@@ -205,11 +215,13 @@ def normalize(lines: DataFrame) -> DataFrame:
     located = lines.join(meta.select("file", "source_session_id", "subagent_origin"), "file").withColumn(
         "session_id", session_id(F.lit(HARNESS), F.col("source_session_id"))
     )
-    cols = record_columns(F.col("value"))
-    rows = event_seq(located, ["bundle_path"]).select(
+    cols = record_columns()
+    rows = opened(event_seq(located, ["bundle_path"])).select(
         "session_id", "source_session_id", "subagent_origin", "bundle_path", "line", "seq",
         *[c.alias(n) for n, c in cols.items()],
     )
+    # read four times below; records are parsed once
+    rows = stage(rows, "rollout")
     asked = rows.filter("is_response_user").select("session_id", "seq", "timestamp", "text")
     said = rows.filter("is_user_message and text is not null").select("session_id", "timestamp", "text")
     echo = mirrored(asked, said).select("session_id", "seq", "mirrored")
@@ -236,8 +248,8 @@ def normalize(lines: DataFrame) -> DataFrame:
 
 def candidates(lines: DataFrame) -> DataFrame:
     """One discovered session per rollout with an identity."""
-    cols = record_columns(F.col("value"))
-    rows = lines.select("file", "line", *[cols[c].alias(c) for c in ("text", "is_response_user", "is_user_message")])
+    cols = record_columns()
+    rows = opened(lines).select("file", "line", *[cols[c].alias(c) for c in ("text", "is_response_user", "is_user_message")])
     reported = F.when(F.col("is_user_message"), F.col("text"))
     legacy = F.when(F.col("is_response_user") & ~injected_preamble(F.col("text")), F.col("text"))
     first = lambda c, name: F.min_by(c, F.when(c.isNotNull(), F.col("line"))).alias(name)
