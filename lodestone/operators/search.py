@@ -25,6 +25,8 @@ from lodestone.operators.predicates import (
     split_query,
     touches_file,
 )
+from lodestone.operators.runs import logical_positions
+from lodestone.session import stage
 
 # Result window defaults.
 LIMIT = 20
@@ -275,12 +277,10 @@ def context_window(shown: DataFrame, events: DataFrame, n: int) -> DataFrame:
     Rows are (session_id, match_seq, seq); the session is unfiltered, windows clip
     at its ends and shown matches never repeat as context.
     """
-    from lodestone.operators.runs import logical_positions
-
-    keys = shown.select("session_id").distinct()
-    whole = events.join(keys, "session_id", "left_semi")
-    places = logical_positions(whole).select("session_id", "seq", "position")
-    hits = shown.select("session_id", F.col("seq").alias("match_seq")).distinct()
+    # the shown rows are few; they and the positions are each used twice
+    hits = stage(shown.select("session_id", F.col("seq").alias("match_seq")).distinct(), "hits")
+    whole = events.join(hits.select("session_id").distinct(), "session_id", "left_semi")
+    places = stage(logical_positions(whole).select("session_id", "seq", "position"), "places")
     at = places.join(hits, (places.session_id == hits.session_id) & (places.seq == hits.match_seq)).select(
         places.session_id, "match_seq", F.explode(F.sequence(F.col("position") - n, F.col("position") + n)).alias("position")
     )

@@ -22,11 +22,13 @@ from lodestone.plans.registry import (
     query,
     runs_sql,
 )
+from lodestone.session import stage
 from lodestone.sources.tables import conversation_events, document_lines, log_events, read_table
 
 
 def turns(spark: SparkSession, root: str) -> DataFrame:
-    return adjacent_runs(conversation_events(read_table(spark, root, "conversations")))
+    """Conversation events with run bounds, written once as the published table would be."""
+    return stage(adjacent_runs(conversation_events(read_table(spark, root, "conversations"))), "turns")
 
 
 def log(spark: SparkSession, root: str) -> DataFrame:
@@ -34,7 +36,7 @@ def log(spark: SparkSession, root: str) -> DataFrame:
 
 
 def log_runs(spark: SparkSession, root: str) -> DataFrame:
-    return adjacent_runs(log(spark, root))
+    return stage(adjacent_runs(log(spark, root)), "log")
 
 
 # ---- ranked search ----
@@ -291,7 +293,7 @@ def occurrence_counts(spark, root):
     f"WITH {LOG_RUNS_SQL} SELECT session_id, seq, source_event_id, run_first_seq, run_last_seq FROM ev",
 )
 def adjacent_runs_events(spark, root):
-    return log_runs(spark, root).select("session_id", "seq", "source_event_id", "run_first_seq", "run_last_seq")
+    return adjacent_runs(log(spark, root)).select("session_id", "seq", "source_event_id", "run_first_seq", "run_last_seq")
 
 
 @query(
