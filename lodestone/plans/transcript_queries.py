@@ -40,7 +40,11 @@ from lodestone.streaming.upsert import stream_transcripts, stream_upsert
 
 
 def claude_lines(spark: SparkSession, root: str) -> DataFrame:
-    """Each conversation as a transcript; assistants answer in blocks and read the file their turn names."""
+    """Each conversation as a transcript.
+
+    Assistants answer in blocks and read the file their turn names; system turns
+    are an agent's side chain.
+    """
     c = read_table(spark, root, "conversations")
     text_block = F.struct(
         F.lit("text").alias("type"), F.col("text"), F.lit(None).cast("string").alias("name"),
@@ -57,7 +61,9 @@ def claude_lines(spark: SparkSession, root: str) -> DataFrame:
         F.lit('{"type":"'), "role",
         F.lit('","sessionId":"s'), F.col("conv_id").cast("string"),
         F.lit('","uuid":"u'), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"),
-        F.lit('","message":'), message, F.lit("}"),
+        F.lit('","message":'), message,
+        F.when(F.col("role") == "system", F.concat(F.lit(',"isSidechain":true,"agentId":"a'), F.col("conv_id").cast("string"), F.lit('"'))).otherwise(F.lit("")),
+        F.lit("}"),
     )
     return c.select(
         F.concat(F.lit("/x/projects/p/"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("file"),
