@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths as H
 from lodestone.functions import text as X
 from lodestone.operators import families as G
 from lodestone.operators import intake as I
+from lodestone.operators import layout as L
 from lodestone.operators import predicates as P
 from lodestone.operators import refresh as U
 from lodestone.operators import search as S
@@ -23,10 +25,19 @@ from lodestone.plans.governance_queries import (
     order_candidates,
     page_evaluations,
 )
-from lodestone.plans.registry import LINES_SQL, LOG_RUNS_SQL, LOG_SQL, TURN_RUNS_SQL, TURNS_SQL, query
-from lodestone.plans.search_queries import _SUMMARY, log_runs, log_sessions, turns
+from lodestone.plans.registry import (
+    LINES_SQL,
+    LOG_RUNS_SQL,
+    LOG_SQL,
+    TURN_RUNS_SQL,
+    TURNS_SQL,
+    bm25_sql,
+    bm25_stats_sql,
+    query,
+)
+from lodestone.plans.search_queries import _SUMMARY, excerpt_sql, log_runs, log_sessions, turns
 from lodestone.plans.transcript_queries import _ROLLOUT, claude_events, codex_lines
-from lodestone.session import fresh_path
+from lodestone.session import fresh_path, stage
 from lodestone.sources import codex
 from lodestone.sources.jsonl import fingerprint_files, parsed
 from lodestone.sources.tables import conversation_events, read_table, whole_documents
@@ -257,3 +268,34 @@ SELECT CASE WHEN max(p.run_last_seq) < (SELECT max(run_last_seq) FROM ev WHERE s
 def next_cursor(spark, root):
     ev = log_runs(spark, root)
     return N.next_cursor(N.timeline(ev, "7", limit=20), ev, "7")
+
+
+# ---- result documents of one search, byte for byte ----
+
+_THE = f"""{TURN_RUNS_SQL}, {bm25_stats_sql('cv', ['the'])},
+m AS (SELECT cv.*, {bm25_sql('text', ['the'])} AS rank FROM cv, st WHERE text IS NOT NULL AND contains(lower(text), 'the') AND seq = run_first_seq),
+c AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY rank, seq) AS rn, min(rank) OVER (PARTITION BY session_id) AS best FROM m),
+sh AS (SELECT * FROM c WHERE rn <= 3 ORDER BY best, session_id, rn LIMIT 20), {excerpt_sql('sh', 'ex')},
+j AS (SELECT *, '"eventSeq":' || seq || ',"eventKind":' || to_json(kind) || ',"role":' || to_json(role) || ',"timestamp":null,"excerpt":' || to_json(excerpt) || ',"locator":{{' AS body,
+  '"sourceCursor":"line:' || seq || '","sourceEventId":null}}}}' AS tail, '"sourceFile":"conversations/' || session_id || '",' AS file,
+  '{{"sessionId":' || to_json(session_id) || ',"harnessId":"chat",' AS head FROM ex),
+fl AS (SELECT '{{"matches":[' || string_agg(head || body || file || tail, ',' ORDER BY best, session_id, seq) || ']}}' AS doc FROM j),
+gr AS (SELECT best, session_id, head || file || '"matches":[' || string_agg('{{' || body || tail, ',' ORDER BY seq) || ']}}' AS g FROM j GROUP BY best, session_id, head, file),
+gd AS (SELECT '{{"layout":"grouped","groups":[' || string_agg(g, ',' ORDER BY best, session_id) || ']}}' AS doc FROM gr)"""
+
+
+@query(
+    "result_documents",
+    f"""WITH {_THE} SELECT strlen(fl.doc) AS flat_bytes, strlen(gd.doc) AS grouped_bytes, sha256(fl.doc) AS flat_digest, sha256(gd.doc) AS grouped_digest,
+  CASE WHEN strlen(gd.doc) < strlen(fl.doc) THEN 'grouped' ELSE 'flat' END AS layout FROM fl, gd""",
+)
+def result_documents(spark, root):
+    shown = S.search_text(turns(spark, root), None, "the").matches.drop("_newest")
+    # numbers the rows of one result, at most the limit
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("best_rank", "session_id", "seq"))
+    rows = stage(L.result_rows(shown.withColumn("ord", place), "ord"), "result")
+    docs = L.result_documents(rows)
+    return docs.select(
+        F.col("flat_bytes").cast("long").alias("flat_bytes"), F.col("grouped_bytes").cast("long").alias("grouped_bytes"),
+        F.sha2("flat", 256).alias("flat_digest"), F.sha2("grouped", 256).alias("grouped_digest"), "layout",
+    )

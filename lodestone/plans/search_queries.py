@@ -182,19 +182,23 @@ _MARK = (
 )
 
 
-@query(
-    "excerpts",
-    f"""WITH {TURNS_SQL},
-l AS (SELECT session_id, seq, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS line FROM turns WHERE contains(lower(text), 'the')),
-a AS (SELECT *, length(line) AS n, greatest(strpos(lower(line), 'the') - 1, 0) AS anchor FROM l),
-b AS (SELECT *, CASE WHEN n <= 120 THEN n ELSE least(n, greatest(anchor - 24, 0) + 120) END AS e FROM a),
-w AS (SELECT *, CASE WHEN n <= 120 THEN 0 ELSE greatest(e - 120, 0) END AS s FROM b)
-SELECT session_id, seq, (CASE WHEN s > 0 THEN '…' ELSE '' END) || list_aggregate(list_transform(range(s + 1, e + 1),
+def excerpt_sql(source: str, out: str) -> str:
+    """CTEs adding to ``source`` the excerpt of its text for the term ``the``."""
+    return f"""{out}_l AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS line FROM {source}),
+{out}_a AS (SELECT *, length(line) AS n, greatest(strpos(lower(line), 'the') - 1, 0) AS anchor FROM {out}_l),
+{out}_b AS (SELECT *, CASE WHEN n <= 120 THEN n ELSE least(n, greatest(anchor - 24, 0) + 120) END AS e FROM {out}_a),
+{out}_w AS (SELECT *, CASE WHEN n <= 120 THEN 0 ELSE greatest(e - 120, 0) END AS s FROM {out}_b),
+{out} AS (SELECT *, (CASE WHEN s > 0 THEN '…' ELSE '' END) || list_aggregate(list_transform(range(s + 1, e + 1),
   lambda i: (CASE WHEN {_MARK.format(i='i')} AND (i = s + 1 OR NOT {_MARK.format(i='i - 1')}) THEN '«' ELSE '' END)
     || substring(line, i, 1)
     || (CASE WHEN {_MARK.format(i='i')} AND (i = e OR NOT {_MARK.format(i='i + 1')}) THEN '»' ELSE '' END)),
-  'string_agg', '') || (CASE WHEN e < n THEN '…' ELSE '' END) AS excerpt
-FROM w""",
+  'string_agg', '') || (CASE WHEN e < n THEN '…' ELSE '' END) AS excerpt FROM {out}_w)"""
+
+
+@query(
+    "excerpts",
+    f"""WITH {TURNS_SQL}, hit AS (SELECT * FROM turns WHERE contains(lower(text), 'the')), {excerpt_sql('hit', 'ex')}
+SELECT session_id, seq, excerpt FROM ex""",
 )
 def excerpts(spark, root):
     cv = conversation_events(read_table(spark, root, "conversations"))
