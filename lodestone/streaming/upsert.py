@@ -43,6 +43,11 @@ def replace_sessions(spark: SparkSession, table: str, rows: DataFrame, removed:
     staged.repartitionByRange("bucket", "session_id").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("bucket").parquet(table)
+    # A dynamic overwrite leaves alone a bucket that lost its last session.
+    filled = staged.select("bucket").distinct()
+    for row in keys.select("bucket").distinct().join(filled, "bucket", "left_anti").collect():
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/bucket={row.bucket}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stream_upsert(stream: DataFrame, table: str, checkpoint: str, version: str = "modified_at") -> StreamingQuery:
