@@ -238,12 +238,12 @@ def terms_visible(spark, root):
     """WITH c AS (SELECT CAST(o_custkey AS VARCHAR) AS session_id, sha256(CAST(o_orderkey AS VARCHAR))[1:16] AS key,
     sha256(o_orderstatus || o_orderpriority) AS digest, strftime(o_orderdate, '%Y-%m-%d') AS accepted_at FROM orders)
 SELECT session_id, digest, accepted_at, key FROM (SELECT *, count(*) OVER (PARTITION BY session_id) AS n FROM c) WHERE n >= 2
-ORDER BY session_id, digest, accepted_at, key LIMIT 100""",
+ORDER BY session_id, digest, accepted_at, key""",
 )
 def conflict_listing(spark, root):
     from lodestone.operators.merges import candidate_order, capture_conflicts
 
-    listed = capture_conflicts(order_candidates(spark, root)).orderBy(*candidate_order()).limit(100)
+    listed = capture_conflicts(order_candidates(spark, root)).orderBy(*candidate_order())
     return listed.select("session_id", "digest", "accepted_at", "key")
 
 
@@ -251,13 +251,13 @@ def conflict_listing(spark, root):
     "tombstone_listing",
     f"""WITH {_LEDGERS} SELECT unit, epoch, deleted_at, replica FROM lo
 WHERE NOT EXISTS (SELECT 1 FROM orders WHERE CAST(o_orderkey AS VARCHAR) = unit AND o_orderstatus = 'O')
-ORDER BY epoch, deleted_at, replica, unit LIMIT 100""",
+ORDER BY epoch, deleted_at, replica, unit""",
 )
 def tombstone_listing(spark, root):
     from lodestone.operators.merges import ledger_order, tombstones
 
     live = read_table(spark, root, "orders").filter("o_orderstatus = 'O'").select(F.col("o_orderkey").cast("string").alias("session_id"))
-    return tombstones(ledgers(spark, root)[0], live).orderBy(*ledger_order()).limit(100)
+    return tombstones(ledgers(spark, root)[0], live).orderBy(*ledger_order())
 
 
 @query(

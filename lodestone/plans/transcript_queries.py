@@ -622,7 +622,7 @@ def stream_upsert_query(spark, root):
     cols = [F.col("user_id").cast("string").alias("session_id"), "event_id", F.date_trunc("year", "ts").alias("modified_at")]
     src, out = event_parts(spark, root, cols), fresh_path(spark, "upsert")
     stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
-    stream_upsert(stream, f"{out}/t", f"{out}/c").awaitTermination()
+    stream_upsert(stream, f"{out}/t", f"{out}/c", buckets=16).awaitTermination()
     return spark.read.parquet(f"{out}/t").groupBy("session_id").agg(F.count("*").alias("events"))
 
 
@@ -636,5 +636,5 @@ def stream_transcripts_query(spark, root):
         placed = found.withColumn("folder", F.lit("p")).withColumn("stem", F.regexp_extract("file", "conv=([^/]+)/", 1))
         return claude.normalize(placed.withColumn("bundle_path", F.lit(H.TRANSCRIPT)).withColumn("is_sub", F.lit(False)))
 
-    stream_transcripts(spark, src, f"{out}/t", f"{out}/c", normalize, glob="*.txt").awaitTermination()
+    stream_transcripts(spark, src, f"{out}/t", f"{out}/c", normalize, glob="*.txt", buckets=16).awaitTermination()
     return _event_view(spark.read.parquet(f"{out}/t"))

@@ -33,6 +33,8 @@ def replace_sessions(spark: SparkSession, table: str, rows: DataFrame, removed:
     keys = fresh.select("session_id", "bucket").distinct()
     if removed is not None:
         keys = keys.union(_bucketed(removed.select("session_id"), buckets).select("session_id", "bucket")).distinct()
+    # used again after the write, when the table that ``rows`` may come from has changed
+    keys = stage(keys, "keys")
     new = fresh
     if _exists(spark, table):
         # at most ``buckets`` rows
@@ -40,7 +42,9 @@ def replace_sessions(spark: SparkSession, table: str, rows: DataFrame, removed:
         old = spark.read.parquet(table).join(touched, "bucket", "left_semi").join(keys.select("session_id"), "session_id", "left_anti")
         new = old.select(*fresh.columns).unionByName(fresh)
     staged = stage(new, "replace")
-    staged.repartitionByRange("bucket", "session_id").write.mode("overwrite").option(
+    # the last key lets a large session spread over tasks
+    inside = "seq" if "seq" in staged.columns else F.xxhash64(*[c for c in staged.columns if c != "bucket"])
+    staged.repartitionByRange("bucket", "session_id", inside).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("bucket").parquet(table)
     # A dynamic overwrite leaves alone a bucket that lost its last session.
@@ -50,7 +54,9 @@ def replace_sessions(spark: SparkSession, table: str, rows: DataFrame, removed:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stream_upsert(stream: DataFrame, table: str, checkpoint: str, version: str = "modified_at") -> StreamingQuery:
+def stream_upsert(
+    stream: DataFrame, table: str, checkpoint: str, version: str = "modified_at", buckets: int = BUCKETS
+) -> StreamingQuery:
     """Keep ``table`` at the newest version of each session; late older versions change nothing."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -61,7 +67,7 @@ def stream_upsert(stream: DataFrame, table: str, checkpoint: str, version: str =
             newest = newest.join(held, "session_id", "left").filter(
                 F.col("_held").isNull() | (F.col(version) >= F.col("_held"))
             ).drop("_held")
-        replace_sessions(spark, table, newest)
+        replace_sessions(spark, table, newest, buckets=buckets)
 
     return (
         stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -69,7 +75,7 @@ def stream_upsert(stream: DataFrame, table: str, checkpoint: str, version: str =
 
 
 def stream_transcripts(spark: SparkSession, folder: str, table: str, checkpoint: str, normalize,
-                       files_per_batch: int = 1000, glob: str = "*.jsonl") -> StreamingQuery:
+                       files_per_batch: int = 1000, glob: str = "*.jsonl", buckets: int = BUCKETS) -> StreamingQuery:
     """Ingest transcripts as they arrive.
 
     The stream carries file names only, at most ``files_per_batch`` a batch; each
@@ -89,7 +95,7 @@ def stream_transcripts(spark: SparkSession, folder: str, table: str, checkpoint:
     def ingest(batch: DataFrame, batch_id: int) -> None:
         paths = [r.path for r in batch.collect()]  # at most files_per_batch names
         if paths:
-            replace_sessions(batch.sparkSession, table, normalize(read_jsonl(batch.sparkSession, paths, glob)))
+            replace_sessions(batch.sparkSession, table, normalize(read_jsonl(batch.sparkSession, paths, glob)), buckets=buckets)
 
     return (
         arrived.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
