@@ -37,6 +37,8 @@ NGRAM = 3
 
 DOTTED_I = "\u0130"
 KELVIN = "\u212a"
+# Noncharacters of Unicode, standing in for the two while ``lower`` runs.
+HELD = "\ufdd0\ufdd1"
 
 
 # ---- query terms (driver side: the query string is an argument, not data) ----
@@ -78,22 +80,19 @@ def _is_word(ch: str) -> bool:
 
 
 def fold_case(text: Column) -> Column:
-    """Lower case that keeps length: a character whose lower case is longer stays."""
-    return F.array_join(F.transform(F.split(text, DOTTED_I, -1), F.lower), DOTTED_I)
+    """Lower case that keeps length: a character whose lower case is longer stays.
+
+    There is one such character; it waits out ``lower`` as a code point that is
+    never assigned. No lambda, so scans keep whole-stage code generation.
+    """
+    return F.translate(F.lower(F.translate(text, DOTTED_I, HELD[0])), HELD[0], DOTTED_I)
 
 
 def _fold_word(text: Column) -> Column:
     # The Kelvin sign folds to an ASCII letter but is no word character itself, so
-    # it stays and the pattern admits it for k.
-    needs = text.rlike(f"[{DOTTED_I}{KELVIN}]")
-    slow = F.array_join(
-        F.transform(
-            F.split(text, f"(?<=[{DOTTED_I}{KELVIN}])|(?=[{DOTTED_I}{KELVIN}])", -1),
-            lambda p: F.when(p.rlike(f"^[{DOTTED_I}{KELVIN}]$"), p).otherwise(F.lower(p)),
-        ),
-        "",
-    )
-    return F.when(needs, slow).otherwise(F.lower(text))
+    # it stays too and the pattern admits it for k.
+    kept = DOTTED_I + KELVIN
+    return F.translate(F.lower(F.translate(text, kept, HELD)), HELD, kept)
 
 
 def word_pattern(term: str) -> str:

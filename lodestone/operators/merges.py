@@ -152,10 +152,13 @@ def purge(tables: dict[str, DataFrame], units: DataFrame) -> dict[str, DataFrame
 
 def three_way_merge(base: DataFrame, local: DataFrame, remote: DataFrame) -> DataFrame:
     """Outcome per unit of three (unit, digest) snapshots; content inside a unit is never stitched."""
-    b = base.select("unit", F.col("digest").alias("base_digest"))
-    lo = local.select("unit", F.col("digest").alias("local_digest"))
-    re = remote.select("unit", F.col("digest").alias("remote_digest"))
-    both = b.join(lo, "unit", "full").join(re, "unit", "full")
+    sides = {"base": base, "local": local, "remote": remote}
+    tagged = None
+    for name, side in sides.items():
+        rows = side.select("unit", *[(F.col("digest") if n == name else F.lit(None).cast("string")).alias(f"{n}_digest") for n in sides])
+        tagged = rows if tagged is None else tagged.unionByName(rows)
+    # one row per unit and side, so one shuffle brings the three digests together
+    both = tagged.groupBy("unit").agg(*[F.max(f"{n}_digest").alias(f"{n}_digest") for n in sides])
     moved_l = ~F.col("base_digest").eqNullSafe(F.col("local_digest"))
     moved_r = ~F.col("base_digest").eqNullSafe(F.col("remote_digest"))
     same = F.col("local_digest").eqNullSafe(F.col("remote_digest"))
