@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import near_dedup, token_store
+from lodestone.llm import near_dedup, quality_classifier, quality_rules, token_store
 from lodestone.llm.common import configure, read
 from lodestone.session import fresh_path
 
@@ -40,3 +40,15 @@ def op1_token_output(spark: SparkSession, root: str) -> DataFrame:
 @query("op3_near_dedup")
 def op3_near_dedup(spark: SparkSession, root: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, root, "documents"), percent=85)
+
+
+@query("op4_quality_rules")
+def op4_quality_rules(spark: SparkSession, root: str) -> DataFrame:
+    return quality_rules.judge(read(spark, root, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+@query("op7_quality_classifier")
+def op7_quality_classifier(spark: SparkSession, root: str) -> DataFrame:
+    return quality_classifier.scored(read(spark, root, "documents"), read(spark, root, "labels"))
