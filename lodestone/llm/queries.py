@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import near_dedup, quality_classifier, quality_rules, token_store
+from lodestone.llm import decontamination, mixing, near_dedup, quality_classifier, quality_rules, token_store
 from lodestone.llm.common import configure, read
 from lodestone.session import fresh_path
 
@@ -52,3 +53,15 @@ def op4_quality_rules(spark: SparkSession, root: str) -> DataFrame:
 @query("op7_quality_classifier")
 def op7_quality_classifier(spark: SparkSession, root: str) -> DataFrame:
     return quality_classifier.scored(read(spark, root, "documents"), read(spark, root, "labels"))
+
+
+@query("op9_mixing")
+def op9_mixing(spark: SparkSession, root: str) -> DataFrame:
+    mix = mixing.mixed(read(spark, root, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query("op10_decontamination")
+def op10_decontamination(spark: SparkSession, root: str) -> DataFrame:
+    """The documents that hold a benchmark item, one row for each item they hold."""
+    return decontamination.leaks(read(spark, root, "documents"), read(spark, root, "benchmark"))
