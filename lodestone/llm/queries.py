@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontamination, mixing, near_dedup, quality_classifier, quality_rules, token_store
+from lodestone.llm import (
+    decontamination,
+    mixing,
+    near_dedup,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    token_store,
+    url_filter,
+)
 from lodestone.llm.common import configure, read
 from lodestone.session import fresh_path
 
@@ -65,3 +74,26 @@ def op9_mixing(spark: SparkSession, root: str) -> DataFrame:
 def op10_decontamination(spark: SparkSession, root: str) -> DataFrame:
     """The documents that hold a benchmark item, one row for each item they hold."""
     return decontamination.leaks(read(spark, root, "documents"), read(spark, root, "benchmark"))
+
+
+@query("op5_secret_scan")
+def op5_secret_scan(spark: SparkSession, root: str) -> DataFrame:
+    found = secret_scan.find_secrets(read(spark, root, "documents"))
+    spans = F.arrays_zip(F.col("kinds").alias("k"), F.col("starts").alias("s"), F.col("ends").alias("e"))
+    base = [r.kind for r in secret_scan.BASE_RULES]
+
+    def joined(x):
+        return F.array_join(F.transform(x, lambda v: F.concat_ws(":", v["k"], v["s"].cast("string"), v["e"].cast("string"))), ",")
+
+    count = lambda kind: F.size(F.filter("kinds", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *[count(k) for k in base],
+        F.sha2(joined(F.filter(spans, lambda v: v["k"].isin(base))), 256).alias("base_sha256"),
+        joined(spans).alias("spans"),
+    )
+
+
+@query("op8_url_filter")
+def op8_url_filter(spark: SparkSession, root: str) -> DataFrame:
+    return url_filter.judge(read(spark, root, "pages"))
