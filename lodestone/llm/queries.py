@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import (
+    chat_format,
     decontamination,
+    license_scan,
     mixing,
     near_dedup,
     quality_classifier,
@@ -18,7 +20,7 @@ from lodestone.llm import (
     token_store,
     url_filter,
 )
-from lodestone.llm.common import configure, read
+from lodestone.llm.common import configure, read, stage
 from lodestone.session import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +99,27 @@ def op5_secret_scan(spark: SparkSession, root: str) -> DataFrame:
 @query("op8_url_filter")
 def op8_url_filter(spark: SparkSession, root: str) -> DataFrame:
     return url_filter.judge(read(spark, root, "pages"))
+
+
+@query("op2_chat_format")
+def op2_chat_format(spark: SparkSession, root: str) -> DataFrame:
+    """All conversations and one, numbered -1, whose texts are control strings; formatted, written, and read back."""
+    spoof = spark.createDataFrame(
+        [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string"
+    )
+    turns = read(spark, root, "conversations").select("conv_id", "turn", "role", "text").unionByName(spoof)
+    windows = stage(chat_format.chat_windows(turns, tokenizer=public_tokenizers.path("byte_bpe_50k.json")), "windows")
+    return chat_format.read_back(windows)
+
+
+@query("op6_license_scan")
+def op6_license_scan(spark: SparkSession, root: str) -> DataFrame:
+    """Every document with the licenses found in it, by place."""
+    found = license_scan.scan(read(spark, root, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("templates").cast("long").alias("n_licenses"),
+        F.array_join("templates", ",").alias("licenses"),
+        F.array_join(F.transform("first_words", lambda x: x.cast("string")), ",").alias("first_words"),
+        F.array_join(F.transform("last_words", lambda x: x.cast("string")), ",").alias("last_words"),
+    )
