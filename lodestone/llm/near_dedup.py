@@ -4,13 +4,15 @@ One pass over the texts takes each document's set of five-word shingles, a diges
 of the set and many universal hash minima of it. Documents of equal sets are one
 *class*. Classes that agree in a band of minima are candidates: in every bucket
 each member is paired with the bucket's least member, pairs whose signatures agree
-too little are dropped, and the rest are confirmed on full sets. Buckets whose
-members then still lie in several components give the remaining pairs between
-different components, confirmed alike, so no pair of a bucket goes untested unless
-its classes are already linked. Components are found by large-star and small-star.
-
-A pair at the threshold of 0.85 misses every one of the 24 bands of 4 minima with
-a chance of 2e-8, and falls under the signature bound with one of about 1e-8.
+too little are dropped, and the rest are confirmed on full sets. Components are
+found by large-star and small-star. Buckets whose members then still lie in several
+components are cut into parts of a few hundred members, and full sets are compared
+for every two parts (and within each) between members of different components, so
+no pair of a bucket goes untested unless its classes are already linked. A pair of
+parts gives back only links that join components, never its pairs.
+
+A pair at the threshold of 0.85 misses every one of the 32 bands of 6 minima with
+a chance of 3e-7, and falls under the signature bound with one of about as much.
 """
 
 from __future__ import annotations
@@ -27,9 +29,13 @@ from lodestone.llm.common import bounded, slices, stage, texts
 from lodestone.llm.components import components
 from lodestone.llm.words import shingle_sets, stream
 
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 32, 6
 # Candidates must agree in so large a part of their minima before sets are compared.
-SIGNATURE_FLOOR = 0.625
+SIGNATURE_FLOOR = 0.72
+# Members of a part of a bucket, on average.
+PART = 512
+# Columns of shingles that two parts are compared over at a time.
+COLUMNS = 4096
 # Up to so many ids are sent to every task when texts are looked up; beyond, texts are shuffled.
 BROADCAST_IDS = 2_000_000
 SIGNED = "doc_id long, n_shingles long, digest binary, signature binary"
@@ -100,12 +106,9 @@ def agreeing(pairs: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a binary, b binary")
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """The pairs with ``100 * intersection >= percent * union`` of their full shingle sets."""
-    needed = stage(
-        pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "doc_id"), "node"),
-        "needed",
-    )
+def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """``node, shingles``: the full sets (sorted hashes as bytes) of the classes in ``wanted`` (``node``), from the texts."""
+    needed = stage(wanted.select("node").distinct().join(nodes.select("node", "doc_id"), "node"), "needed")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,7 +122,11 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int,
     ids = bounded(needed.select(F.col("doc_id").alias("_id")).distinct(), BROADCAST_IDS)
     held = texts(docs)
     held = held.join(ids, held["doc_id"].eqNullSafe(ids["_id"]), "left_semi").select("text").mapInArrow(sets, "node binary, shingles binary")
-    held = stage(held.join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    return stage(held.join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+
+def confirmed(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The pairs with ``100 * intersection >= percent * union`` of their full sets."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,8 +143,68 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int,
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
 
 
+def joining_links(sets: list[np.ndarray], side: np.ndarray, root: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between members of different sides (all, if there is one side) and roots, so many as join their roots."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    seen = np.bincount(code)
+    place = np.cumsum(seen > 1) - 1
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shared = seen[code] > 1  # a shingle of one set alone is in no intersection
+    code, owner = place[code[shared]], owner[shared]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        a, b = np.searchsorted(code, (low, low + COLUMNS))
+        grid = np.zeros((len(sets), COLUMNS), np.float32)
+        grid[owner[a:b], code[a:b] - low] = 1
+        common += grid @ grid.T
+    both = common.astype(np.int64)
+    linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    linked &= root[:, None] < root[None, :]
+    if side.min() != side.max():
+        linked &= side[:, None] != side[None, :]
+    x, y = np.nonzero(linked)
+    # One link for each two roots, then only those that join what is apart.
+    _, first = np.unique(root[x] * (root.max() + 1) + root[y], return_index=True) if len(x) else (None, [])
+    up = list(range(int(root.max()) + 1))
+
+    def top(r: int) -> int:
+        while up[r] != r:
+            up[r] = up[up[r]]
+            r = up[r]
+        return r
+
+    out = []
+    for i in first:
+        a, b = top(int(root[x[i]])), top(int(root[y[i]]))
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            out.append((int(x[i]), int(y[i])))
+    return out
+
+
+def links_between(rest: DataFrame, held: DataFrame, percent: int, part: int = PART) -> DataFrame:
+    """``a, b``: links that join the roots of ``rest`` (``bucket, node, root, parts``), each bucket compared part by part."""
+    own = F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts"))
+    spread = rest.select("bucket", "node", "root", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    spread = spread.select("bucket", "node", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        nodes = table.column("node").to_pylist()
+        _, root = np.unique(np.array(table.column("root").to_pylist(), dtype=object), return_inverse=True)
+        out: list[tuple[int, int]] = []
+        if len(nodes) > 1 and root.max() > 0:
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+            out = joining_links(sets, table.column("own").to_numpy(), root.astype(np.int64), percent)
+        return pa.table({k: pa.array([nodes[p[c]] for p in out], pa.binary()) for c, k in enumerate(("a", "b"))})
+
+    return spread.join(held, "node").groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary")
+
+
 def near_duplicates(
-    docs: DataFrame, percent: int = 85, shingle: int = 5, bands: int = BANDS, rows: int = ROWS, floor: float = SIGNATURE_FLOOR
+    docs: DataFrame, percent: int = 85, shingle: int = 5, bands: int = BANDS, rows: int = ROWS, floor: float = SIGNATURE_FLOOR, part: int = PART
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (doc_id, text).
 
@@ -155,21 +222,18 @@ def near_duplicates(
     )
     placed = stage(members.join(shared, "bucket"), "placed")
     stars = placed.filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    links = stage(confirmed(stage(agreeing(stars, nodes, floor), "pairs"), nodes, docs, percent, shingle), "links")
+    pairs = stage(agreeing(stars, nodes, floor), "pairs")
+    held = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))), nodes, docs, shingle)
+    links = stage(confirmed(pairs, held, percent), "links")
     roots = stage(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
 
-    # Buckets that still hold several components: every pair between two of them.
+    # Buckets that still hold several components.
     rooted = placed.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    split = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-    rest = stage(rooted.join(split, "bucket"), "rest")
-    other = rest.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    cross = rest.withColumnRenamed("node", "a").join(other, "bucket").filter("root < root_b").select("a", "b").distinct()
-    tested = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    cross = stage(agreeing(cross.join(tested, ["a", "b"], "left_anti"), nodes, floor), "cross")
-    if not cross.isEmpty():
-        more = stage(confirmed(cross, nodes, docs, percent, shingle), "more")
-        if not more.isEmpty():
-            roots = stage(components(links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
+    split = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / F.lit(part)).alias("parts"))
+    rest = stage(rooted.join(split.filter("lo <> hi").select("bucket", "parts"), "bucket"), "rest")
+    more = stage(links_between(rest, sets_of(rest, nodes, docs, shingle), percent, part), "more")
+    if not more.isEmpty():
+        roots = stage(components(links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
 
     # Names: the least id of a component, looked up through its classes.
     named = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc_id")
