@@ -41,6 +41,16 @@ SAMPLE = "raw binary"
 IDS = "doc_id long, shard int, block int, pos int, n_tokens long, ids_crc32 long"
 
 
+def _byte_chars() -> dict[int, str]:
+    """The characters by which a byte-level model spells bytes: printable ones themselves, others from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTE_CHARS = _byte_chars()
+
+
 class Encoder:
     """Ids of whole texts through a tokenizer file, with a cache of pieces.
 
@@ -75,63 +85,69 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
         self.end = np.array([end_id], self.kind).tobytes()
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.cache = _Pieces(self)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def spaced(self, piece: str) -> bytes:
-        """Bytes of a piece after a space, or of one that begins with a line break."""
-        found = self.old.get(piece)
-        if found is None:
-            m = self._stem.fullmatch(piece)
-            if m and piece.isascii():  # letters and a run of marks are split between them
-                found = self.get(m[1]) + self.bare(m[2])
-            else:
-                found = self.whole(piece if piece[0] == "\n" else " " + piece)
-        if len(piece) <= self.LONGEST:
-            if len(self.new) >= self.CACHED:
-                self.old, self.new = self.new, {}
-            self.new[piece] = found
-        return found
-
-    def get(self, piece: str) -> bytes:
-        found = self.new.get(piece)
-        return self.spaced(piece) if found is None else found
-
-    def bare(self, piece: str) -> bytes:
-        """Bytes of a run of marks in the middle of a text, kept under a key no piece has."""
-        key = "\n\n" + piece
-        found = self.new.get(key) or self.old.get(key)
-        if found is None:
-            found = self.whole(piece)
-        self.new[key] = found
-        return found
+    def letters(self, text: str) -> bytes:
+        """Bytes of a space or nothing and Latin letters, which the splitter leaves whole: the model alone is asked."""
+        spelled = text.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return np.array([t.id for t in self.model.tokenize(spelled)], self.kind).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        """Bytes of a piece after a space, or of one that begins with a line break; not looked up."""
+        lead, rest = ("\n", piece[1:]) if piece[0] == "\n" else (" ", piece)
+        if rest.isalpha() and max(rest) < "\u0250":
+            return self.cache["\n\n\n"] + self.letters(rest) if lead == "\n" else self.letters(" " + rest)
+        m = self._stem.fullmatch(rest)
+        if m:  # letters and a run of marks are split between them
+            return self.cache[m[1] if lead == " " else "\n" + m[1]] + self.cache["\n\n" + m[2]]
+        return self.whole(piece if lead == "\n" else " " + piece)
 
     def encode(self, text: str) -> bytes:
         if not self.cut or not text:
             return (self.whole(text) if text else b"") + self.end
+        cache = self.cache
         if self._irregular.search(text):
             head, *rest = self._cuts.split(text)
             out = [self.whole(head)]
             for piece in rest:
-                if len(piece) > self.LONGEST or not self._plain.fullmatch(piece):
-                    out.append(self.whole(piece))
+                if self._plain.fullmatch(piece):
+                    out.append(cache[piece if piece[0] == "\n" else piece[1:]])
                 else:
-                    out.append(self.get(piece if piece[0] == "\n" else piece[1:]))
-        else:
-            head, *rest = text.replace("\n", " \n").split(" ")
-            out = [self.whole(head)]
-            new, spaced = self.new, self.spaced
-            for piece in rest:
-                found = new.get(piece)
-                if found is None:
-                    found = spaced(piece)
-                    new = self.new
-                out.append(found)
-        out.append(self.end)
-        return b"".join(out)
+                    out.append(self.whole(piece))
+            out.append(self.end)
+            return b"".join(out)
+        head, *rest = text.replace("\n", " \n").split(" ")
+        return b"".join((self.whole(head), *map(cache.__getitem__, rest), self.end))
+
+
+class _Pieces(dict):
+    """Bytes of pieces by piece; a run of marks in a text's middle stands under two line breaks and itself.
+
+    Two generations of bounded size: what the older one has moves on when met again. Long pieces are not kept.
+    """
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder, self.old = encoder, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.old.get(piece)
+        if found is None:
+            enc = self.encoder
+            if piece == "\n\n\n":
+                found = enc.whole("\n")
+            else:
+                found = enc.whole(piece[2:]) if piece.startswith("\n\n") else enc.piece(piece)
+        if len(piece) <= Encoder.LONGEST:
+            if len(self) >= Encoder.CACHED:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
