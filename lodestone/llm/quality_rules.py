@@ -61,7 +61,7 @@ def _with_letter() -> Column:
 DEFAULT_RULES = (
     Rule("words_long_or_short", lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 16 * F.col("n_words"))),
     Rule("many_symbols", lambda: 100 * F.col("n_symbols") > 20 * F.col("n_words")),
-    Rule("repeated_lines", lambda: 100 * F.col("n_dup_lines") > 30 * F.size(S.lines_of(F.col("text")))),
+    Rule("repeated_lines", lambda: (F.col("n_dup_lines") > 1) & (100 * F.col("n_dup_lines") > 40 * F.size(S.lines_of(F.col("text"))))),
     Rule("upper_case", lambda: 100 * _upper() > 30 * F.col("word_chars")),
     Rule("exclamations", lambda: 100 * S.count_of(F.col("text"), "!") > 20 * F.col("n_words")),
     Rule("few_letters", lambda: 100 * _with_letter() < 70 * F.col("n_words")),
@@ -79,13 +79,14 @@ class Estimate:
         return self.rejected / max(self.seconds, 1e-6)
 
 
-def estimate(table: DataFrame, rules: Sequence[Rule], rows: int, sample_rows: int = 2000) -> list[Estimate]:
-    """Seconds and rejections of each rule over a staged sample of about ``sample_rows`` of ``rows`` rows.
+def estimate(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = 2000) -> list[Estimate]:
+    """Seconds and rejections of each rule over a staged sample of about ``sample_rows`` rows that pass the base rule.
 
     Rows are picked by a hash of their id, so repeated ids come or stay together; the sample decides order only.
     """
-    share = min(1.0, sample_rows / max(rows, 1))
-    sample = stage(table.filter(F.pmod(F.xxhash64("doc_id", F.lit("rules")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))), "rule_sample")
+    share = min(1.0, sample_rows / max(docs.count(), 1))
+    chosen = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("rules")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    sample = stage(measured(stage(chosen.select("doc_id", "text"), "rule_texts")).filter(~base_failed()), "rule_sample")
     out = []
     for rule in rules:
         count = sample.agg(F.count_if(rule.rejects()))
@@ -115,7 +116,7 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, sample_rows: i
     Empty and null texts fail the base rule. ``rejected_by`` is ``base`` or the first rule of the estimated order.
     """
     table = measured(docs).withColumn("base_failed", base_failed())
-    plan = ordered(estimate(table.filter(~F.col("base_failed")), rules, docs.count(), sample_rows))
+    plan = ordered(estimate(docs, rules, sample_rows))
     return (
         table.withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(plan)))
         .withColumn("kept", F.col("rejected_by").isNull())

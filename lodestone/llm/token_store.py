@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -61,9 +62,8 @@ class Encoder:
     generations bound the cache.
     """
 
-    CACHED = 300_000
+    CACHED = 600_000
     LONGEST = 64
-    _irregular = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]$")
     _cuts = re.compile(r"(?<=\S)(?=[ \n]\S)")
     _plain = re.compile(r"[ \n]\S+")
     _stem = re.compile(r"([^\W\d_]+)([.,;:!?*#$%&|]+)")
@@ -84,17 +84,18 @@ class Encoder:
         )
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
+        self.code = "H" if self.width == 2 else "I"
         self.end = np.array([end_id], self.kind).tobytes()
         self.model = self.tokenizer.model
         self.cache = _Pieces(self)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def letters(self, text: str) -> bytes:
         """Bytes of a space or nothing and Latin letters, which the splitter leaves whole: the model alone is asked."""
         spelled = text.encode().decode("latin-1").translate(_BYTE_CHARS)
-        return np.array([t.id for t in self.model.tokenize(spelled)], self.kind).tobytes()
+        return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def piece(self, piece: str) -> bytes:
         """Bytes of a piece after a space, or of one that begins with a line break; not looked up."""
@@ -109,19 +110,25 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not self.cut or not text:
             return (self.whole(text) if text else b"") + self.end
-        cache = self.cache
-        if self._irregular.search(text):
-            head, *rest = self._cuts.split(text)
-            out = [self.whole(head)]
-            for piece in rest:
-                if self._plain.fullmatch(piece):
-                    out.append(cache[piece if piece[0] == "\n" else piece[1:]])
-                else:
-                    out.append(self.whole(piece))
-            out.append(self.end)
-            return b"".join(out)
         head, *rest = text.replace("\n", " \n").split(" ")
-        return b"".join((self.whole(head), *map(cache.__getitem__, rest), self.end))
+        if not head or head.split() == [head]:
+            try:
+                return b"".join((self.whole(head), *map(self.cache.__getitem__, rest), self.end))
+            except IrregularSpaceError:
+                pass
+        head, *rest = self._cuts.split(text)
+        out = [self.whole(head)]
+        for piece in rest:
+            if self._plain.fullmatch(piece):
+                out.append(self.cache[piece if piece[0] == "\n" else piece[1:]])
+            else:
+                out.append(self.whole(piece))
+        out.append(self.end)
+        return b"".join(out)
+
+
+class IrregularSpaceError(ValueError):
+    """A piece is empty or holds white space."""
 
 
 class _Pieces(dict):
@@ -137,6 +144,9 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         found = self.old.get(piece)
         if found is None:
+            bare = piece.lstrip("\n")
+            if piece != "\n\n\n" and bare.split() != [bare]:
+                raise IrregularSpaceError(piece)
             enc = self.encoder
             if piece == "\n\n\n":
                 found = enc.whole("\n")
@@ -201,7 +211,7 @@ def decompressor(dictionary: bytes) -> zstandard.ZstdDecompressor:
 
 
 def write_tokens(
-    docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, level: int = 3, dictionary_documents: int = 1000
+    docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, level: int = 1, dictionary_documents: int = 1000
 ) -> None:
     """Encode every whole text of ``docs`` (doc_id, text) and write ``folder``."""
     spark = docs.sparkSession
