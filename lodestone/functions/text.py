@@ -37,6 +37,7 @@ NGRAM = 3
 
 DOTTED_I = "\u0130"
 KELVIN = "\u212a"
+FINAL_SIGMA, SIGMA = "\u03c2", "\u03c3"
 # Noncharacters of Unicode, standing in for the two while ``lower`` runs.
 HELD = "\ufdd0\ufdd1"
 
@@ -61,7 +62,7 @@ def split_terms(query: str) -> list[str]:
 
 
 def fold_term(term: str) -> str:
-    return "".join(c if len(c.lower()) != 1 else c.lower() for c in term)
+    return "".join(c if len(c.lower()) != 1 else c.lower() for c in term).replace(FINAL_SIGMA, SIGMA)
 
 
 def _overlaps_itself(term: str) -> bool:
@@ -85,14 +86,14 @@ def fold_case(text: Column) -> Column:
     There is one such character; it waits out ``lower`` as a code point that is
     never assigned. No lambda, so scans keep whole-stage code generation.
     """
-    return F.translate(F.lower(F.translate(text, DOTTED_I, HELD[0])), HELD[0], DOTTED_I)
+    return F.translate(F.lower(F.translate(text, DOTTED_I, HELD[0])), HELD[0] + FINAL_SIGMA, DOTTED_I + SIGMA)
 
 
 def _fold_word(text: Column) -> Column:
     # The Kelvin sign folds to an ASCII letter but is no word character itself, so
     # it stays too and the pattern admits it for k.
     kept = DOTTED_I + KELVIN
-    return F.translate(F.lower(F.translate(text, kept, HELD)), HELD, kept)
+    return F.translate(F.lower(F.translate(text, kept, HELD)), HELD + FINAL_SIGMA, kept + SIGMA)
 
 
 def word_pattern(term: str) -> str:
@@ -107,7 +108,12 @@ def word_pattern(term: str) -> str:
 
 def contains_term(text: Column, term: str) -> Column:
     """Indexed-term match: case-insensitive literal substring."""
-    return F.contains(F.lower(text), F.lit(term.lower()))
+    return F.contains(_one_sigma(F.lower(text)), F.lit(term.lower().replace(FINAL_SIGMA, SIGMA)))
+
+
+def _one_sigma(lowered: Column) -> Column:
+    """A capital sigma lowers by its place in a word; both small forms count as one."""
+    return F.translate(lowered, FINAL_SIGMA, SIGMA)
 
 
 def ascii_fold(text: Column) -> Column:
@@ -314,7 +320,7 @@ def bm25(text: Column, terms: Sequence[str], stats: Column) -> Column:
     n, avg = stats["n"].cast("double"), stats["tokens"] / stats["n"]
     dl = token_count(text)
     score = F.lit(0.0)
-    low = F.lower(text)
+    low = _one_sigma(F.lower(text))
     for i, term in enumerate(terms):
         df = stats[f"df{i}"]
         raw = F.log((n - df + 0.5) / (df + 0.5))

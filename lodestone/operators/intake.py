@@ -16,15 +16,16 @@ LOSS_RECORDS = 100
 
 
 def longest_prefix_owner(paths: DataFrame, bindings: DataFrame, path: str = "opening_path") -> DataFrame:
-    """Owner of each distinct path: the longest bound root at or above it, then the smaller project.
+    """Owner of each distinct path: the longest bound root that it equals or lies below, then the smaller project.
 
-    ``bindings`` is (project_id, path). Each path meets the roots by equality
+    A path lies below a root that it begins with, followed by a slash; so ``/`` owns itself alone. ``bindings`` is (project_id, path). Each path meets the roots by equality
     with one of its ancestors.
     """
     norm = lambda c: F.when(F.length(c) > 1, F.rtrim(c, F.lit("/"))).otherwise(c)
     roots = bindings.groupBy(norm(F.col("path")).alias("_root")).agg(F.min("project_id").alias("project_id"))
     wanted = paths.select(path).filter(F.col(path).isNotNull()).distinct()
     steps = wanted.select(path, F.explode(path_ancestors(F.col(path))).alias("_root"))
+    steps = steps.filter((F.col("_root") != "/") | (norm(F.col(path)) == "/"))
     owned = (
         lookup(steps, roots, ["_root"], "inner")
         .groupBy(path)

@@ -33,7 +33,7 @@ from lodestone.sources.projection import (
 from lodestone.sources.tables import iso_micros, read_table
 from lodestone.streaming.events import latest_to_table, stream_dedup_copies, stream_monotonic_latest, to_table
 from lodestone.streaming.runs import late_rows, runs_so_far, stream_adjacent_runs
-from lodestone.streaming.upsert import stream_transcripts, stream_upsert
+from lodestone.streaming.upsert import current, ingest_transcripts, stream_upsert, transcripts
 
 
 # ---- conversations as transcripts of the first harness ----
@@ -217,8 +217,9 @@ def verify_citations(spark, root):
 @query(
     "revision_digests",
     f"""WITH {LINES_SQL}, f AS (SELECT session_id, 'source/' || seq AS path, strlen(coalesce(text, '')) AS size, sha256(coalesce(text, '')) AS sha FROM lines)
-SELECT session_id, sha256(string_agg(path || chr(10) || size || chr(10) || sha, chr(10) || '---' || chr(10) ORDER BY path, size, sha)) AS revision_digest,
-  count(*) AS file_count, CAST(sum(size) AS BIGINT) AS total_bytes FROM f GROUP BY 1""",
+SELECT session_id, sha256(string_agg(d, chr(10) ORDER BY cut)) AS revision_digest, CAST(sum(n) AS BIGINT) AS file_count, CAST(sum(b) AS BIGINT) AS total_bytes
+FROM (SELECT session_id, substr(sha256(path), 1, 3) AS cut, count(*) AS n, sum(size) AS b,
+    sha256(string_agg(path || chr(10) || size || chr(10) || sha, chr(10) || '---' || chr(10) ORDER BY path, size, sha)) AS d FROM f GROUP BY 1, 2) GROUP BY 1""",
 )
 def revision_digests(spark, root):
     body = F.coalesce("text", F.lit(""))
@@ -553,6 +554,10 @@ def export_sessions_query(spark, root):
 # ---- streams over the event log, delivered in four parts by time ----
 
 
+# Files of each part; a trigger that takes so many takes a part.
+PART_FILES = 4
+
+
 def event_parts(spark: SparkSession, root: str, columns: list, repeat: bool = False) -> str:
     """The log as files that arrive in time order, a quarter of its span at a time."""
     out = fresh_path(spark, "arrivals")
@@ -564,7 +569,7 @@ def event_parts(spark: SparkSession, root: str, columns: list, repeat: bool = Fa
         if i < 3:
             part = part.filter(F.col("ts") < F.lit(lo + (i + 1) * step))
         for _ in range(2 if repeat else 1):
-            part.select(*columns).coalesce(1).write.mode("append").parquet(out)
+            part.select(*columns).repartition(PART_FILES).write.mode("append").parquet(out)
     return out
 
 
@@ -579,7 +584,7 @@ def stream_runs(spark, root):
     ]
     src, out = event_parts(spark, root, cols), fresh_path(spark, "runs")
     schema = spark.read.parquet(src).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", PART_FILES).parquet(src)
     stream_adjacent_runs(stream, out).awaitTermination()
     assert late_rows(spark, out).isEmpty()
     return runs_so_far(spark, out).select("session_id", "run_first_seq", "run_last_seq", "kind")
@@ -593,7 +598,7 @@ def stream_dedup(spark, root):
         F.col("event_id").alias("seq"),
     ]
     src, out = event_parts(spark, root, cols, repeat=True), fresh_path(spark, "dedup")
-    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 2).parquet(src)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 2 * PART_FILES).parquet(src)
     to_table(stream_dedup_copies(stream, delay="20 days"), f"{out}/t", f"{out}/c").awaitTermination()
     return spark.read.parquet(f"{out}/t").select("identity_key", "session_id")
 
@@ -606,24 +611,25 @@ def stream_dedup(spark, root):
 def stream_monotonic_latest_query(spark, root):
     cols = [F.col("user_id").cast("string").alias("session_id"), "ts", "event_id", "event_type"]
     src, out = event_parts(spark, root, cols), fresh_path(spark, "latest")
-    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", PART_FILES).parquet(src)
     latest_to_table(stream_monotonic_latest(stream, ["session_id"], ["ts", "event_id"]), f"{out}/t", f"{out}/c").awaitTermination()
     return spark.read.parquet(f"{out}/t").select("session_id", "event_id", "event_type")
 
 
 @query(
     "stream_upsert",
-    """WITH q AS (SELECT *, min(ts) OVER () AS lo, max(ts) OVER () AS hi FROM events),
-b AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id, least(3, CAST(floor(epoch_us(ts - lo) / (epoch_us(hi - lo) / 4.0)) AS INTEGER)) AS part FROM q)
-SELECT session_id, count(*) AS events FROM b WHERE part = (SELECT max(part) FROM b x WHERE x.session_id = b.session_id) GROUP BY 1""",
+    """WITH b AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id, date_trunc('month', ts) AS version FROM events)
+SELECT session_id, count(*) AS events, sum(event_id) AS event_ids FROM b
+WHERE version = (SELECT max(version) FROM b x WHERE x.session_id = b.session_id) GROUP BY 1""",
 )
 def stream_upsert_query(spark, root):
-    """Each part is the newest version of the sessions it holds."""
-    cols = [F.col("user_id").cast("string").alias("session_id"), "event_id", F.date_trunc("year", "ts").alias("modified_at")]
+    """Events of a user's last month, whose parts come in several batches."""
+    cols = [F.col("user_id").cast("string").alias("session_id"), "event_id", F.date_trunc("month", "ts").alias("modified_at")]
     src, out = event_parts(spark, root, cols), fresh_path(spark, "upsert")
-    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
-    stream_upsert(stream, f"{out}/t", f"{out}/c", buckets=16).awaitTermination()
-    return spark.read.parquet(f"{out}/t").groupBy("session_id").agg(F.count("*").alias("events"))
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", PART_FILES).parquet(src)
+    stream_upsert(stream, f"{out}/t", f"{out}/c").awaitTermination()
+    newest = current(spark, f"{out}/t", "modified_at")
+    return newest.groupBy("session_id").agg(F.count("*").alias("events"), F.sum("event_id").alias("event_ids"))
 
 
 @query("stream_transcripts", _EVENTS)
@@ -636,5 +642,5 @@ def stream_transcripts_query(spark, root):
         placed = found.withColumn("folder", F.lit("p")).withColumn("stem", F.regexp_extract("file", "conv=([^/]+)/", 1))
         return claude.normalize(placed.withColumn("bundle_path", F.lit(H.TRANSCRIPT)).withColumn("is_sub", F.lit(False)))
 
-    stream_transcripts(spark, src, f"{out}/t", f"{out}/c", normalize, glob="*.txt", buckets=16).awaitTermination()
-    return _event_view(spark.read.parquet(f"{out}/t"))
+    ingest_transcripts(spark, src, f"{out}/t", f"{out}/c", normalize, files_per_batch=40, glob="*.txt", session_files="/[^/]+$")
+    return _event_view(transcripts(spark, f"{out}/t"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -44,19 +43,31 @@ def local_session(cpus: int | str = 8, memory: str = "8g", app: str = "lodestone
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's folder in ``spark.checkpoint.dir``; only a single-machine session may go without one."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = getattr(spark, "_lodestone_dir", None)
         if root is None:
-            root = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+            root = tempfile.mkdtemp(prefix="spark-")
             spark._lodestone_dir = root
     return root.rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Delete what this session staged; results read from it later are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lodestone/{_session_key(spark)}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _session_key(spark: SparkSession) -> str:
+    return spark.sparkContext.applicationId
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/lodestone/{_session_key(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from lodestone.functions.digests import revision_digest
 from lodestone.functions.json import bracketed, json_object
 from lodestone.functions.text import SPACE
-from lodestone.operators.blocks import lookup
-
-MAX_LISTED = 10_000
 
 
 def plain_path(uri: Column) -> Column:
@@ -96,29 +93,18 @@ def fingerprint_files(spark: SparkSession, paths: str | Sequence[str], glob: str
     )
 
 
-def revisions(files: DataFrame, max_listed: int = MAX_LISTED) -> DataFrame:
+def revisions(files: DataFrame) -> DataFrame:
     """Digest, file count and bytes of each session's bundle of (path, size, sha256).
 
-    A bundle of up to ``max_listed`` files digests its sorted list. A larger one
-    digests, in order, the digests of lists cut by a hash of the path, so no list
-    holds a whole large bundle.
+    The digest is that of the digests, in order, of sorted lists cut by a hash of
+    the path: one definition for bundles of any size, and no list of a whole bundle.
     """
-    facts = files.groupBy("session_id").agg(
-        F.count("*").alias("file_count"), F.sum("size").alias("total_bytes")
-    )
-    entry = F.collect_list(F.struct("path", "size", "sha256"))
-    sized = lookup(files, facts, ["session_id"], "inner")
-    plain = sized.filter(F.col("file_count") <= max_listed).groupBy("session_id").agg(
-        revision_digest(entry).alias("revision_digest")
-    )
     cut = F.substring(F.sha2("path", 256), 1, 3)
-    parts = sized.filter(F.col("file_count") > max_listed).groupBy("session_id", cut.alias("cut")).agg(
-        revision_digest(entry).alias("d")
+    parts = files.groupBy("session_id", cut.alias("cut")).agg(
+        revision_digest(F.collect_list(F.struct("path", "size", "sha256"))).alias("d"), F.count("*").alias("n"), F.sum("size").alias("b")
     )
     # at most 4,096 parts a session
-    large = parts.groupBy("session_id").agg(
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cut", "d"))), lambda p: p["d"]), "\n"), 256).alias(
-            "revision_digest"
-        )
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("cut", "d"))), lambda p: p["d"])
+    return parts.groupBy("session_id").agg(
+        F.sha2(F.array_join(listed, "\n"), 256).alias("revision_digest"), F.sum("n").alias("file_count"), F.sum("b").alias("total_bytes")
     )
-    return plain.unionByName(large).join(facts, "session_id")

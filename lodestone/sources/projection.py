@@ -7,8 +7,6 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.sources.jsonl import MAX_LISTED
-
 PROJECTION_VERSION = 1
 POINTER = "store_commit string, projection_version int, path string, published_at timestamp, generation long"
 
@@ -93,12 +91,9 @@ def _fs(spark: SparkSession, folder: str):
 def session_documents(sessions: DataFrame, files: DataFrame) -> DataFrame:
     """(session_id, document): the JSON document an export writes beside the source rows.
 
-    ``files`` is (session_id, path, size, media_type, sha256). A bundle of more
-    than MAX_LISTED files is not listed inline (``files`` is null): its manifest
-    rows are the table itself.
+    ``files`` is (session_id, path, size, media_type, sha256); a document lists all files of its session.
     """
-    counts = files.groupBy("session_id").agg(F.count("*").alias("_n")).filter(F.col("_n") <= MAX_LISTED)
-    listed = files.join(counts.select("session_id"), "session_id", "left_semi").groupBy("session_id").agg(
+    listed = files.groupBy("session_id").agg(
         F.array_sort(F.collect_list(F.struct("path", "size", F.col("media_type").alias("mediaType"), "sha256"))).alias("files")
     )
     doc = F.struct(

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestone.operators.refresh import latest_versions
 from lodestone.session import stage
 from lodestone.sources.jsonl import read_jsonl
 
@@ -54,49 +53,99 @@ def replace_sessions(spark: SparkSession, table: str, rows: DataFrame, removed:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stream_upsert(
-    stream: DataFrame, table: str, checkpoint: str, version: str = "modified_at", buckets: int = BUCKETS
-) -> StreamingQuery:
-    """Keep ``table`` at the newest version of each session; late older versions change nothing."""
+def publish(spark: SparkSession, table: str, rows: DataFrame, version: str, batch: int) -> None:
+    """Add a batch of session versions to a versioned table; writing the same batch again changes nothing.
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        newest = latest_versions(batch, "session_id", version)
-        if _exists(spark, table):
-            held = spark.read.parquet(table).groupBy("session_id").agg(F.max(version).alias("_held"))
-            newest = newest.join(held, "session_id", "left").filter(
-                F.col("_held").isNull() | (F.col(version) >= F.col("_held"))
-            ).drop("_held")
-        replace_sessions(spark, table, newest, buckets=buckets)
+    Rows are appended under ``rows/batch=N``; one row per session and version under ``versions/batch=N`` makes
+    them visible, so readers see all of a batch or none. The work follows the batch, not the table.
+    """
+    rows.write.mode("overwrite").parquet(f"{table}/rows/batch={batch}")
+    keys = spark.read.parquet(f"{table}/rows/batch={batch}").groupBy("session_id").agg(F.max(version).alias(version))
+    keys.write.mode("overwrite").parquet(f"{table}/versions/batch={batch}")
+
+
+def current(spark: SparkSession, table: str, version: str) -> DataFrame:
+    """Every published row of the newest version of each session, whichever batches brought them."""
+    listed = spark.read.parquet(f"{table}/versions")
+    newest = listed.groupBy("session_id").agg(F.max(version).alias(version))
+    rows = spark.read.parquet(f"{table}/rows")
+    return rows.join(newest, ["session_id", version], "left_semi").join(listed.select("batch").distinct(), "batch", "left_semi").drop("batch")
+
+
+def compact(spark: SparkSession, table: str, version: str, out: str) -> None:
+    """Write what :func:`current` gives as a table of one batch at ``out``."""
+    publish(spark, out, current(spark, table, version), version, 0)
+
+
+def stream_upsert(stream: DataFrame, table: str, checkpoint: str, version: str = "modified_at") -> StreamingQuery:
+    """Keep a versioned table of sessions; :func:`current` reads their newest versions.
 
+    Late older versions change nothing, and rows of one version may come in any number of batches.
+    """
     return (
-        stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(lambda batch, n: publish(batch.sparkSession, table, batch, version, n))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def stream_transcripts(spark: SparkSession, folder: str, table: str, checkpoint: str, normalize,
-                       files_per_batch: int = 1000, glob: str = "*.jsonl", buckets: int = BUCKETS) -> StreamingQuery:
-    """Ingest transcripts as they arrive.
+# ---- transcripts ----
 
-    The stream carries file names only, at most ``files_per_batch`` a batch; each
-    batch reads its files as splittable text, normalizes them with
-    ``normalize(lines)`` and replaces their sessions.
-    """
-    arrived = (
-        spark.readStream.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .schema("path string, modificationTime timestamp, length long, content binary")
-        .load(folder)
-        .select("path")
+# A main transcript and its subagent files are one session: the path without what follows its stem.
+SESSION_FILES = r"(/subagents/[^/]+|\.[^/.]+)$"
+GENERATION = "_generation"
+
+
+def listed_files(spark: SparkSession, folder: str, glob: str, session_files: str = SESSION_FILES) -> DataFrame:
+    """``key, path, mark`` of the files there are: a file's mark changes with its size and time, its key names the session."""
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
+        .select("path", "modificationTime", "length")
     )
+    return files.select(F.regexp_replace("path", session_files, "").alias("key"), "path", F.xxhash64("path", "length", "modificationTime").alias("mark"))
+
 
-    def ingest(batch: DataFrame, batch_id: int) -> None:
-        paths = [r.path for r in batch.collect()]  # at most files_per_batch names
-        if paths:
-            replace_sessions(batch.sparkSession, table, normalize(read_jsonl(batch.sparkSession, paths, glob)), buckets=buckets)
+def ingest_transcripts(spark: SparkSession, folder: str, table: str, state: str, normalize, files_per_batch: int = 1000,
+                       glob: str = "*.jsonl", session_files: str = SESSION_FILES) -> int:
+    """Bring the versioned ``table`` up to the transcripts in ``folder``; returns how many sessions had changed.
 
+    The listing is compared with the one kept in ``state``: sessions with a new, grown, changed or missing file are read
+    again whole, all their files in one batch of about ``files_per_batch`` files, so the table does not depend on how
+    files fell into batches. The state is written after a batch is published; a broken run repeats it. A session all
+    of whose files are gone keeps its last version.
+    """
+    files = stage(listed_files(spark, folder, glob, session_files), "listing")
+    now = files.groupBy("key").agg(F.count("*").alias("files"), F.sum(F.col("mark").cast("decimal(38,0)")).alias("marks"))
+    last = -1
+    if _exists(spark, state):
+        known = spark.read.parquet(state)
+        last = known.agg(F.max("batch")).first()[0]
+        kept = known.groupBy("key").agg(F.max(F.struct("batch", "files", "marks")).alias("k")).select("key", "k.files", "k.marks")
+        now = now.join(kept, ["key", "files", "marks"], "left_anti")
+    changed = stage(now, "changed")
+    found, total = changed.agg(F.count("*"), F.sum("files")).first()
+    batches = max(1, -(-(total or 0) // files_per_batch))
+    for i in range(batches if found else 0):
+        part = changed.filter(F.pmod(F.xxhash64("key"), F.lit(batches)) == i)
+        # names of about files_per_batch files
+        paths = [r.path for r in files.join(part, "key", "left_semi").select("path").collect()]
+        if not paths:
+            continue
+        last += 1
+        rows = normalize(read_jsonl(spark, paths, glob)).withColumn(GENERATION, F.lit(last).cast("long"))
+        publish(spark, table, rows, GENERATION, last)
+        part.write.mode("overwrite").parquet(f"{state}/batch={last}")
+    return found
+
+
+def transcripts(spark: SparkSession, table: str) -> DataFrame:
+    """The sessions of a table that :func:`ingest_transcripts` keeps."""
+    return current(spark, table, GENERATION).drop(GENERATION)
+
+
+def stream_transcripts(spark: SparkSession, folder: str, table: str, checkpoint: str, normalize, every: str = "1 minute", **options) -> StreamingQuery:
+    """Run :func:`ingest_transcripts` again and again; the stream is a clock, the listing tells what changed."""
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     return (
-        arrived.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        clock.writeStream.foreachBatch(lambda batch, n: ingest_transcripts(batch.sparkSession, folder, table, f"{checkpoint}/listing", normalize, **options))
+        .option("checkpointLocation", f"{checkpoint}/clock").trigger(processingTime=every).start()
     )

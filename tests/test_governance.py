@@ -10,7 +10,7 @@ from lodestone.operators import refresh as U
 from lodestone.sources import projection as J
 from lodestone.sources.jsonl import parsed, revisions
 from lodestone.streaming.runs import late_rows, run_batch, runs_so_far
-from lodestone.streaming.upsert import replace_sessions, stream_transcripts
+from lodestone.streaming.upsert import compact, current, ingest_transcripts, publish, replace_sessions, transcripts
 
 
 def df(spark, rows, schema):
@@ -131,12 +131,25 @@ def test_pin_fails_the_job_when_strict(spark):
         P.pin_revision(rows, now, F.col("cited"), strict=True).collect()
 
 
-def test_large_bundles_digest_in_parts(spark):
+def test_bundles_of_any_size_digest_alike(spark):
     files = spark.range(500).select(F.lit("s").alias("session_id"), F.concat(F.lit("f"), "id").alias("path"), F.col("id").alias("size"), F.sha2(F.col("id").cast("string"), 256).alias("sha256"))
-    a, b = revisions(files, 100).first(), revisions(files.orderBy(F.desc("id")), 100).first()
-    other = revisions(files.filter("id <> 7"), 100).first()
+    a, b = revisions(files).first(), revisions(files.orderBy(F.desc("id"))).first()
+    other = revisions(files.filter("id <> 7")).first()
     assert a == b and a.file_count == 500 and a.revision_digest != other.revision_digest
-    assert revisions(files).first().revision_digest != a.revision_digest
+
+
+def test_export_documents_list_all_files(spark):
+    files = spark.range(10_050).select(F.lit("s").alias("session_id"), F.col("id").cast("string").alias("path"), F.col("id").alias("size"), F.lit("t").alias("media_type"), F.lit("d").alias("sha256"))
+    names = "session_id revision_digest harness_id source_session_id association_mode opening_path continuation_parent subagent_kind subagent_parent archive_state accepted_at".split()
+    sessions = df(spark, [("s",) * len(names)], ", ".join(f"{n} string" for n in names)).withColumn("subagent_origin", F.lit(False))
+    assert J.session_documents(sessions, files).first().document.count('"path"') == 10_050
+
+
+def test_a_root_owns_what_lies_below_it_and_a_slash(spark):
+    paths = df(spark, [("/",), ("/a/b",), ("/ab",), ("/a/",)], "opening_path string")
+    roots = df(spark, [("top", "/"), ("a", "/a/")], "project_id string, path string")
+    got = {r.opening_path: r.owner for r in I.longest_prefix_owner(paths, roots).collect()}
+    assert got == {"/": "top", "/a/b": "a", "/ab": None, "/a/": "a"}
 
 
 def test_publish_switches_and_prunes(spark, tmp_path):
@@ -181,19 +194,51 @@ def test_replacing_sessions_twice_changes_nothing(spark, tmp_path):
     assert {(r.session_id, r.seq) for r in spark.read.parquet(table).collect()} == {("a", 9)}
 
 
-def test_transcripts_arrive_in_batches(spark, tmp_path):
-    src, out = tmp_path / "in", str(tmp_path / "out")
-    src.mkdir()
-    (src / "a.jsonl").write_text('{"n":1}\nbroken\n')
+def _normalize(lines):
+    """Sessions of main and subagent files by the main file's stem."""
+    stem = F.regexp_extract("file", r"/in/([^/]+?)(?:\.jsonl|/subagents/[^/]+)$", 1)
+    return lines.select(stem.alias("session_id"), F.col("file"), F.col("line").alias("seq"), F.col("value").isNull().alias("bad"))
 
-    def normalize(lines):
-        return lines.select(F.regexp_extract("file", r"([^/]+)\.jsonl$", 1).alias("session_id"), F.col("line").alias("seq"), F.col("value").isNull().alias("bad"))
 
-    stream_transcripts(spark, str(src), f"{out}/t", f"{out}/c", normalize).awaitTermination()
+@pytest.mark.parametrize("files_per_batch", [1, 2, 1000])
+def test_transcripts_do_not_depend_on_batches(spark, tmp_path, files_per_batch):
+    src, table, state = tmp_path / "in", str(tmp_path / "t"), str(tmp_path / "state")
+    (src / "a" / "subagents").mkdir(parents=True)
+    (src / "a.jsonl").write_text('{"n":1}\nbroken\n')
+    (src / "a" / "subagents" / "agent-1.jsonl").write_text('{"n":1}\n')
     (src / "b.jsonl").write_text('{"n":1}\n')
-    stream_transcripts(spark, str(src), f"{out}/t", f"{out}/c", normalize).awaitTermination()
-    got = {(r.session_id, r.seq, r.bad) for r in spark.read.parquet(f"{out}/t").collect()}
-    assert got == {("a", 1, False), ("a", 2, True), ("b", 1, False)}
+
+    def seen():
+        rows = transcripts(spark, table).collect()
+        return sorted((r.session_id, r.file.rsplit("/", 1)[1], r.seq, r.bad) for r in rows)
+
+    def ingest():
+        return ingest_transcripts(spark, str(src), table, state, _normalize, files_per_batch=files_per_batch)
+
+    assert ingest() == 2
+    first = [("a", "a.jsonl", 1, False), ("a", "a.jsonl", 2, True), ("a", "agent-1.jsonl", 1, False), ("b", "b.jsonl", 1, False)]
+    assert seen() == first and ingest() == 0
+    with (src / "b.jsonl").open("a") as f:  # an appended transcript is read again
+        f.write('{"n":2}\n')
+    (src / "c.jsonl").write_text('{"n":1}\n')
+    assert ingest() == 2
+    assert seen() == [*first, ("b", "b.jsonl", 2, False), ("c", "c.jsonl", 1, False)]
+    (src / "a" / "subagents" / "agent-1.jsonl").unlink()
+    assert ingest() == 1
+    assert seen() == [*first[:2], first[3], ("b", "b.jsonl", 2, False), ("c", "c.jsonl", 1, False)]
+
+
+def test_versions_may_come_in_any_batches(spark, tmp_path):
+    rows = [("a", 1, "x"), ("a", 2, "y"), ("a", 2, "z"), ("b", 5, "u"), ("b", 3, "v"), ("b", 5, "w")]
+    for name, cuts in (("one", [rows]), ("many", [[r] for r in rows]), ("back", [[r] for r in rows[::-1]])):
+        table = str(tmp_path / name)
+        for n, part in enumerate(cuts):
+            for _ in range(2):  # a batch may be repeated
+                publish(spark, table, df(spark, part, "session_id string, modified_at long, text string"), "modified_at", n)
+        got = sorted(r.text for r in current(spark, table, "modified_at").collect())
+        assert got == ["u", "w", "y", "z"]
+    compact(spark, table, "modified_at", f"{table}-compact")
+    assert sorted(r.text for r in spark.read.parquet(f"{table}-compact/rows").collect()) == got
 
 
 def test_partial_issues(spark):

@@ -173,3 +173,10 @@ def test_filter_words():
     with pytest.raises(ValueError):
         P.split_query(" 　")
     assert P.split_query("ab 投影 abc")[1:] == (["abc"], ["ab", "投影"])
+
+
+def test_final_sigma_is_sigma(spark):
+    """A capital sigma lowers by its place, so terms and texts fold it one way."""
+    rows = spark.createDataFrame([("ΟΔΟΣΑ",), ("ΟΔΟΣ Α",), ("οδος",)], "t string")
+    got = [(r.c, r.o) for r in rows.select(X.contains_term(F.col("t"), "ΟΔΟΣ").alias("c"), X.occurrences(F.col("t"), "οδος").alias("o")).collect()]
+    assert got == [(True, 1)] * 3
