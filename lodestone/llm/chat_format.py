@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -139,44 +140,70 @@ def chat_windows(
     everything = dealt.select(columns).unionByName(sent.select(columns))
     escape = escaper(controls)
 
-    def build(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["_to", "seq"], kind="stable")
-        own = part[part._to == 0]
-        if own.empty:  # the tail of a last section that is full
-            return pd.DataFrame(columns=[c.split()[0] for c in names])
-        before = part[part._to == 1].sort_values("seq")
-        system = next(iter(part[part._to == 2].itertuples()), None)
-        rows = [*before.itertuples(), *own.itertuples()]
-        skip, out = len(before), []
-        for number, (a, b) in enumerate(_spans(own.tokens.tolist(), budget)):
+    names = [c.split()[0] for c in _columns(WINDOWS)]
+
+    def build(before: list[dict], own: list[dict], system: dict | None) -> Iterator[tuple]:
+        """The windows of one section's turns, in order."""
+        rows, skip = [*before, *own], len(before)
+        for number, (a, b) in enumerate(_spans([r["tokens"] for r in own], budget)):
             a, b = a + skip, b + skip
             held, spent = a, 0
-            while held > 0 and a - held < history_turns and spent + rows[held - 1].tokens <= history_tokens:
+            while held > 0 and a - held < history_turns and spent + rows[held - 1]["tokens"] <= history_tokens:
                 held -= 1
-                spent += rows[held].tokens
+                spent += rows[held]["tokens"]
             shown = [(r, True) for r in rows[held:a]] + [(r, False) for r in rows[a:b]]
-            if system is not None and system.seq < shown[0][0].seq:
+            if system is not None and system["seq"] < shown[0][0]["seq"]:
                 shown.insert(0, (system, True))
             text, at, loss, spans = [], 0, [], []
             for r, repeated in shown:
-                head, body = f"{OPEN}{escape(r.role)}{MIDDLE}", escape(r.text)
+                head, body = f"{OPEN}{escape(r['role'])}{MIDDLE}", escape(r["text"])
                 start = at + len(head)
                 end = start + len(body)
                 text += [head, body, CLOSE]
                 at = end + len(CLOSE)
-                spans.append({"seq": int(r.seq), "start": start, "end": end, "repeated": repeated})
-                if r.role == "assistant" and not repeated:
+                spans.append({"seq": r["seq"], "start": start, "end": end, "repeated": repeated})
+                if r["role"] == "assistant" and not repeated:
                     loss.append({"start": start, "end": end})
-            conv = own.conv_id.iloc[0]
-            out.append(
-                (None if pd.isna(conv) else int(conv), int(own.section.iloc[0]), number, int(rows[a].seq), b - a, int(sum(r.tokens for r, _ in shown)), "".join(text), loss, spans)
-            )
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in names])
-        frame["conv_id"] = frame["conv_id"].astype("Int64")
-        return frame
-
-    names = ["conv_id", "section", "window", "first_seq", "turns", "tokens", "text", "loss", "spans"]
-    return everything.groupBy("_conv", "section").applyInPandas(build, WINDOWS)
+            first = rows[a]
+            yield first["conv_id"], first["section"], number, first["seq"], b - a, sum(r["tokens"] for r, _ in shown), "".join(text), loss, spans
+
+    def sections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([pa.field(n, t) for n, t in zip(names, _TYPES, strict=True)])
+
+        def packed(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(kinds)], schema=kinds)
+
+        key, part, out = None, ([], [], []), []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if (r["_conv"], r["section"]) != key:
+                    out += _built(build, part)
+                    key, part = (r["_conv"], r["section"]), ([], [], [])
+                part[r["_to"]].append(r)
+            if len(out) >= 256:
+                yield packed(out)
+                out = []
+        yield packed(out + _built(build, part))
+
+    dealt = everything.repartition("_conv", "section").sortWithinPartitions("_conv", "section", "_to", "seq")
+    return dealt.mapInArrow(sections, WINDOWS)
+
+
+_SPAN = [("start", pa.int64()), ("end", pa.int64())]
+_TYPES = (
+    pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.struct(_SPAN)),
+    pa.list_(pa.struct([("seq", pa.int64()), *_SPAN, ("repeated", pa.bool_())])),
+)
+
+
+def _columns(schema: str) -> list[str]:
+    return [c.strip() for c in re.sub("<.*?>+", "", schema).split(",")]
+
+
+def _built(build: Callable, part: tuple[list[dict], list[dict], list[dict]]) -> list[tuple]:
+    """Windows of a section from its own turns, the tail before them and the system turn; a tail alone gives none."""
+    own, before, system = part
+    return list(build(before, own, system[0] if system else None)) if own else []
 
 
 def read_back(windows: DataFrame) -> DataFrame:
