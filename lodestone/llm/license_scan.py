@@ -50,6 +50,7 @@ class Template:
     block: int  # shingles in half a window
     rows: int
     bands: np.ndarray  # one hash per band
+    minima: np.ndarray
 
 
 def similarity_bound(m: int, block: int, containment: float) -> float:
@@ -66,14 +67,17 @@ def band_rows(similarity: float, hashes: int = HASHES, miss: float = MISS) -> in
     return rows
 
 
-def _minima(values: np.ndarray, starts: np.ndarray, hashes: int) -> np.ndarray:
+def _minima(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: int) -> np.ndarray:
+    """Minima of ``hashes`` universal hashes over blocks of ``values``: a row for each hash, a column for each block."""
     a, b = stream(29, hashes) | np.uint64(1), stream(31, hashes)
+    # A block's values stand in a column, its last one repeated to the common length.
+    grid = values[starts + np.minimum(np.arange(int(sizes.max()))[:, None], sizes - 1)]
     out = np.empty((hashes, len(starts)), np.uint32)
+    held = np.empty_like(grid)
     for j in range(hashes):
-        h = values * a[j]
-        h += b[j]
-        h >>= np.uint64(32)
-        out[j] = np.minimum.reduceat(h.astype(np.uint32), starts)
+        np.multiply(grid, a[j], out=held)
+        held += b[j]
+        out[j] = held.min(axis=0) >> np.uint64(32)
     return out
 
 
@@ -118,8 +122,8 @@ def compiled(templates: Sequence[tuple[str, str]] = TEMPLATES, containment: floa
         block = -(-len(run) // BLOCK) * BLOCK
         distinct = np.unique(run)
         rows = band_rows(similarity_bound(len(distinct), block, containment), hashes)
-        bands = _bands(_minima(distinct, np.array([0]), hashes), max(rows, 1))[:, 0]
-        out.append(Template(name, distinct, block, rows, bands))
+        minima = _minima(distinct, np.array([0]), np.array([len(distinct)]), hashes)
+        out.append(Template(name, distinct, block, rows, _bands(minima, max(rows, 1))[:, 0], minima[:, 0]))
     return out
 
 
@@ -158,14 +162,20 @@ def search(
     """Per text with templates, what :func:`scan` lists; ``run`` has all shingles and ``heads`` each text's first."""
     sizes = np.diff(heads)
     full = np.flatnonzero(sizes)
-    if not len(full):
+    if not len(full) or not templates:
         return {}
     # Blocks of BLOCK shingles, none over two texts.
     per_text = -(-sizes // BLOCK)
     first_block = np.concatenate([[0], np.cumsum(per_text)])
     nth = np.arange(first_block[-1]) - np.repeat(first_block[:-1], per_text)
     starts = nth * BLOCK + np.repeat(heads[:-1], per_text)
-    minima = _minima(run, starts, hashes)
+    minima = _minima(run, starts, np.minimum(BLOCK, np.repeat(heads[1:], per_text) - starts), hashes)
+    # A window agrees with a template in a band only if one of its blocks has a minimum of that template.
+    known = np.stack([t.minima for t in templates])
+    near = np.zeros(len(starts), bool)
+    for j in range(hashes):
+        near |= (minima[j] == known[:, j, None]).any(axis=0)
+    near_before = np.concatenate([[0], np.cumsum(near)])
     found: dict[tuple[int, str], tuple[float, int, int]] = {}
     for g in sorted({t.block for t in templates}):
         k = g // BLOCK
@@ -175,9 +185,12 @@ def search(
         w = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
         lo = first_block[text] + w * k
         hi = np.minimum(lo + 2 * k, first_block[text + 1])
-        edges = np.stack([lo, hi], axis=1).ravel()
-        padded = np.concatenate([minima, np.full((hashes, 1), np.uint32(0xFFFFFFFF))], axis=1)
-        own = np.minimum.reduceat(padded, edges, axis=1)[:, ::2]
+        if all(t.rows for t in templates if t.block == g):
+            chosen = np.flatnonzero(near_before[hi] > near_before[lo])
+            text, w, lo, hi = text[chosen], w[chosen], lo[chosen], hi[chosen]
+        if not len(text):
+            continue
+        own = np.stack([minima[:, x:y].min(axis=1) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], axis=1)
         banded = {r: _bands(own, r) for r in {max(t.rows, 1) for t in templates if t.block == g}}
         for t in templates:
             if t.block != g:
