@@ -23,7 +23,7 @@ from lodestone.llm.words import LOWER, hash_spans, linear, stream, word_spans
 
 SHINGLE = 5
 HASHES = 96
-BLOCK = 8
+BLOCK = 4
 CONTAINMENT = 0.8
 MISS = 1e-5
 FOUND = "doc_id long, templates array<string>, containments array<double>, first_words array<long>, last_words array<long>"
