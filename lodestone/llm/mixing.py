@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import stage
 from lodestone.llm.text_stats import words_of
-from lodestone.operators.blocks import dense_seq, running_sum
+from lodestone.operators.blocks import block_of, dense_seq, running_sum
 
 CAP = 3
 STEPS = 60
@@ -116,6 +116,17 @@ def tilts(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
     return state.select("source_key", "mean", "tilt")
 
 
+def _with_figures(rows: DataFrame, figures: DataFrame) -> DataFrame:
+    """``rows`` with the ``figures`` of their source, joined by (source, block of ``_seq``) so that no source meets in one task.
+
+    The figures go to one row a block first. A join on the source alone would deal its rows by source, and the windows
+    after it would keep that dealing, since rows of a block already lie together in it.
+    """
+    blocked = rows.withColumn("_b", block_of(F.col("_seq")))
+    per_block = blocked.select("source_key", "_b").distinct().join(figures, "source_key")
+    return blocked.join(per_block, ["source_key", "_b"]).drop("_b")
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies`` for every row of ``docs`` (doc_id, source, text).
 
@@ -130,7 +141,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     # Rounding: copies are steps of the running sum of rates, largest documents first, so the words off target
     # are never more than the largest document.
     order = [F.desc("size"), F.xxhash64("doc_id", F.lit("mix")), "doc_id"]
-    rated = stage(dense_seq(sizes, ["source_key"], order, out="_seq"), "mix_order").join(per_source, "source_key")
+    rated = _with_figures(stage(dense_seq(sizes, ["source_key"], order, out="_seq"), "mix_order"), per_source)
     rate = F.when(F.col("size") > 0, F.when(F.col("tilt") == math.inf, F.lit(float(CAP))).otherwise(_rate(F.col("tilt"), F.col("size"), F.col("mean")))).otherwise(0.0)
     # Millionths of a copy as whole numbers: sums do not depend on the order of addition.
     rated = rated.withColumn("_rate", F.round(rate * 1_000_000).cast("long"))
@@ -139,7 +150,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     rounded = stage(summed.withColumn("copies", (whole(F.col("_sum")) - whole(F.col("_sum") - F.col("_rate"))).cast("long")), "rounded")
     # Repair: the smallest documents take or give a copy while the words still missing or left over allow.
     off = rounded.groupBy("source_key").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("_off"), F.max("_seq").alias("_last"))
-    rest = rounded.join(off, "source_key")
+    rest = _with_figures(rounded, off)
     movable = F.when(F.col("size") == 0, 0).when((F.col("_off") > 0) & (F.col("copies") < CAP), F.col("size")).when((F.col("_off") < 0) & (F.col("copies") > 0), F.col("size")).otherwise(0)
     rest = rest.withColumn("_move", movable.cast("long")).withColumn("_up", F.col("_last") - F.col("_seq") + 1)
     rest = running_sum(rest, ["source_key"], "_up", F.col("_move"), "_moved")
