@@ -1,4 +1,4 @@
-"""The corpus pipeline, stage by stage, against brute force over whole tables."""
+"""The corpus pipeline: near-duplicate, mixing and token stages against brute force, the other two against their operators."""
 
 from __future__ import annotations
 
