@@ -20,7 +20,7 @@ from lodestone.session import fresh_path
 
 # Ids of up to so many rows are sent to every task; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-# SQL cannot state the stages; tests hold run() against a brute-force version.
+# SQL cannot state the stages; a test holds three of them against brute force, quality and benchmark against their operators.
 ORACLE_SQL = None
 
 
