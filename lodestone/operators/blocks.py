@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from lodestone.session import stage
 
 BLOCK_ROWS = 16_384
-# Ranges of dense_seq: rows each should hold, and how many there may be.
+# Ranges of dense_seq: rows each should hold, and up to how many their offsets are sent to every task.
 RANGE_ROWS = 4_000_000
-MAX_RANGES = 50_000
+BROADCAST_RANGES = 50_000
 
 
 def block_of(seq: Column, rows: int = BLOCK_ROWS) -> Column:
@@ -39,12 +39,12 @@ def dense_seq(
     are facts of a written table. Numbers are local to (key, partition); a key
     that spans partitions adds the rows before it. Only the first key of a
     partition can have such an offset, so offsets have at most one row per
-    partition and may be broadcast. The number of ranges follows the number of
+    partition; up to ``BROADCAST_RANGES`` they are broadcast. The number of ranges follows the number of
     rows, so a range stays small however wide the session's shuffles are set.
     """
     if parts is None:
         fewest = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        parts = max(fewest, min(MAX_RANGES, -(-df.count() // RANGE_ROWS)))
+        parts = max(fewest, -(-df.count() // RANGE_ROWS))
     ranged = df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
     ranged = stage(ranged.withColumn("_part", F.spark_partition_id()), "ranged")
     local = Window.partitionBy(*keys, "_part").orderBy(*order)
@@ -57,7 +57,7 @@ def dense_seq(
     )
     return (
         ranged.withColumn("_rn", F.row_number().over(local))
-        .join(F.broadcast(offsets), [*keys, "_part"], "left")
+        .join(F.broadcast(offsets) if parts <= BROADCAST_RANGES else offsets, [*keys, "_part"], "left")
         .withColumn(out, (F.col("_rn") + F.coalesce("_before", F.lit(0))).cast("long"))
         .drop("_rn", "_before", "_part")
     )

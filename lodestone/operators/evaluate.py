@@ -14,7 +14,8 @@ def phrase_matches(queries: DataFrame, events: DataFrame) -> DataFrame:
     No query meets every event: each is looked up by its rarest anchor. Anchors
     are the words strictly inside the phrase, which a containing text must have
     as whole words; a phrase of fewer than three words uses its three-character
-    pieces. The text itself decides last.
+    pieces, a shorter one itself. An empty phrase matches nothing. The text itself
+    decides last.
     """
     # copies of a phrase are looked up once
     asked = queries.select(F.col("query_id").alias("_asked"), F.sha2("text", 256).alias("query_id"))
@@ -51,12 +52,13 @@ def phrase_matches(queries: DataFrame, events: DataFrame) -> DataFrame:
     named = lambda df: df.join(asked, "query_id").drop("query_id").withColumnRenamed("_asked", "query_id")
     if short.isEmpty():
         return named(found)
-    pieces = lambda c: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(c, i, F.lit(3))
+    pieces = lambda c, n: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - (n - 1))), lambda i: F.substring(c, i, F.lit(n))
     )
-    ok = F.assert_true(F.length("text") >= 3, F.lit("a phrase needs three characters")).isNull()
-    by_piece = short.filter(ok).select("query_id", "text", F.explode(F.array_distinct(pieces(F.col("text")))).alias("anchor"))
-    piece_postings = events.select("session_id", "seq", F.explode(F.array_distinct(pieces(F.col("text")))).alias("anchor"))
+    text = F.col("text")
+    by_piece = short.select("query_id", "text", F.explode(F.array_distinct(pieces(text, 3))).alias("anchor"))
+    every = F.array_distinct(F.concat(*[pieces(text, n) for n in (1, 2, 3)]))
+    piece_postings = events.select("session_id", "seq", F.explode(every).alias("anchor"))
     return named(found.unionByName(matched(by_piece, piece_postings)))
 
 

@@ -20,9 +20,9 @@ def plain_path(uri: Column) -> Column:
 def read_lines(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None) -> DataFrame:
     """(file, block, line, raw): every physical line, blank ones included.
 
-    Files are split as usual. Within one split rows come in file order, so a
-    line's number is its rank in the split plus the lines of earlier splits;
-    no task ever holds more than one split.
+    Files are split as usual. Within one split rows come in file order and have
+    consecutive ids, so a line's number is its distance from the split's least id
+    plus the lines of earlier splits, both from a table with one row per split.
     """
     reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true")
     if glob is not None:
@@ -33,18 +33,14 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], glob: str | None
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("_id"),
     )
-    inside = Window.partitionBy("file", "block").orderBy("_id")
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = (
         rows.groupBy("file", "block")
-        .agg(F.count("*").alias("_n"))
-        .select("file", "block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    )
-    return (
-        rows.withColumn("_rank", F.row_number().over(inside))
-        .join(before, ["file", "block"])
-        .select("file", "block", (F.col("_before") + F.col("_rank")).alias("line"), "raw")
+        .agg(F.count("*").alias("_n"), F.min("_id").alias("_least"))
+        .select("file", "block", "_least", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     )
+    line = F.col("_before") + F.col("_id") - F.col("_least") + 1
+    return rows.join(before, ["file", "block"]).select("file", "block", line.alias("line"), "raw")
 
 
 def parsed(lines: DataFrame) -> DataFrame:

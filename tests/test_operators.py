@@ -284,7 +284,7 @@ def test_mirror_against_brute_force(spark):
 
 def test_phrases_against_brute_force(spark):
     docs = [("d1", 1, "the cat sat on the mat"), ("d2", 1, "xthe cat saty"), ("d3", 1, "cat sat"), ("d4", 1, "a\ncat  sat on it")]
-    phrases = [("q1", "the cat sat"), ("q2", "cat sat"), ("q3", "on the ma"), ("q4", "zzz"), ("q5", "cat  sat on")]
+    phrases = [("q1", "the cat sat"), ("q2", "cat sat"), ("q3", "on the ma"), ("q4", "zzz"), ("q5", "cat  sat on"), ("q6", "at"), ("q7", "a")]
     got = E.phrase_matches(
         spark.createDataFrame(phrases, "query_id string, text string"), spark.createDataFrame(docs, "session_id string, seq long, text string")
     )
