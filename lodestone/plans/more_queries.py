@@ -138,15 +138,20 @@ def bundle_sizes(spark, root):
 
 @query(
     "fingerprint_sizes",
-    "SELECT CAST(conv_id AS VARCHAR) AS conv, CAST(65 * count(*) AS BIGINT) AS size FROM conversations GROUP BY 1",
+    """SELECT CAST(conv_id AS VARCHAR) AS conv, CAST(turn // 64 AS VARCHAR) AS section, CAST(sum(2 * strlen(text) + 1) AS BIGINT) AS size,
+  sha256(string_agg(hex(text) || chr(10), '' ORDER BY turn)) AS sha256 FROM conversations GROUP BY 1, 2""",
 )
 def fingerprint_sizes(spark, root):
-    """Digests of the turns written as files, one line each; the files' bytes are summed again."""
+    """Whole turns written as files, a line each and a file for every 64 turns, then fingerprinted."""
     out = fresh_path(spark, "files")
-    c = read_table(spark, root, "conversations").select(F.col("conv_id").cast("string").alias("conv"), F.sha2("text", 256).alias("value"))
-    c.repartitionByRange("conv").write.partitionBy("conv").text(out)
-    files = fingerprint_files(spark, out, "*.txt")
-    return files.groupBy(F.regexp_extract("file", "conv=([^/]+)/", 1).alias("conv")).agg(F.sum("size").alias("size"))
+    c = read_table(spark, root, "conversations").select(
+        F.col("conv_id").cast("string").alias("conv"), F.floor(F.col("turn") / 64).cast("string").alias("section"), "turn",
+        F.hex(F.coalesce("text", F.lit(""))).alias("value"),
+    )
+    placed = c.repartitionByRange("conv", "section").sortWithinPartitions("conv", "section", "turn")
+    placed.select("conv", "section", "value").write.partitionBy("conv", "section").text(out)
+    part = lambda i: F.regexp_extract("file", "conv=([^/]+)/section=([^/]+)/", i)
+    return fingerprint_files(spark, out, "*.txt").select(part(1).alias("conv"), part(2).alias("section"), "size", "sha256")
 
 
 @query(
@@ -210,14 +215,14 @@ def withheld_age_alerts_query(spark, root):
 
 @query(
     "width_forms",
-    f"""WITH {TURNS_SQL} SELECT session_id, seq, CASE WHEN length(text) > 40 THEN regexp_replace(text[1:39], '\\s+$', '') || '…' ELSE text END AS cut,
-  text || repeat(' ', greatest(0, 60 - length(text))) AS padded FROM turns
-WHERE NOT regexp_matches(text, '[\\x{{1100}}-\\x{{115F}}\\x{{2E80}}-\\x{{FF60}}]')""",
+    f"""WITH {TURNS_SQL}, w AS (SELECT *, 2 * length(text) - length(regexp_replace(text, '{X.WIDE}', '', 'g')) AS cells,
+  list_max(list_filter(range(0, 40), lambda k: 2 * length(text[1:k]) - length(regexp_replace(text[1:k], '{X.WIDE}', '', 'g')) <= 39)) AS kept FROM turns)
+SELECT session_id, seq, CASE WHEN cells > 40 THEN regexp_replace(text[1:kept], '\\s+$', '') || '…' ELSE text END AS cut,
+  text || repeat(' ', greatest(0, 60 - cells)) AS padded FROM w""",
 )
 def width_forms(spark, root):
     c = conversation_events(read_table(spark, root, "conversations"))
-    narrow = c.filter(X.display_width(F.col("text")) == F.length("text"))
-    return narrow.select(
+    return c.select(
         "session_id", "seq", X.truncate_width(F.col("text"), 40).alias("cut"), X.pad_width(F.col("text"), 60).alias("padded")
     )
 
