@@ -3,10 +3,11 @@
 Texts become sequences of tokens in which numbers, names and units stand as typed
 placeholders. Windows of tokens are hashed; a document's windows that a filter of
 the benchmark's window hashes lets through are joined to the benchmark's windows by
-hash in Spark. What matched is then held against the item slot by slot: within a
-document and item one value of the item must always meet one value of the document
+hash in Spark. What matched is then held against the item slot by slot: within one
+occurrence of an item one value of the item must always meet one value of the document
 and the other way round, so a question with its numbers changed throughout is
-caught and text that merely has the same shape is not.
+caught and text that merely has the same shape is not. Windows whose values equal the
+item's always count, and copies of an item with different values are judged apart.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import slices, stage
@@ -213,21 +214,38 @@ def bit_filter(items: DataFrame, windows_count: int) -> np.ndarray:
     return out
 
 
+def occurrences(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (``row, item, at, item_at``) once for each ``group`` of matches that may be one copy of the item.
+
+    Groups are the matches of one alignment (``at - item_at``), those of a run in which the item's places do not fall
+    back (so a copy with insertions stays whole and the next copy begins another), and those of the whole document.
+    """
+    places = Window.partitionBy("row", "item").orderBy("at", "item_at")
+    back = F.coalesce((F.col("item_at") < F.lag("item_at").over(places)).cast("int"), F.lit(0))
+    run = F.sum("back").over(places.rowsBetween(Window.unboundedPreceding, 0))
+    groups = [(0, F.col("at") - F.col("item_at")), (1, run), (2, F.lit(0))]
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), g.cast("long").alias("nth")) for k, g in groups])
+    return pairs.withColumn("back", back).withColumn("groups", kinds).drop("back").withColumn("group", F.explode("groups")).drop("groups")
+
+
 def consistent(pairs: DataFrame) -> DataFrame:
-    """Matches whose slots pair one to one within their document and item.
+    """Matches whose slots equal the item's or pair one to one within their group.
 
-    ``pairs`` has ``row, item, slots, item_slots``. Values pair by kind of position; a value that meets two others
-    within (row, item) makes the windows that hold the rarer pairing inconsistent.
+    ``pairs`` has ``row, item, group, slots, item_slots``. Values pair by kind of position; a value that meets two others
+    within (row, item, group) makes the windows that hold the rarer pairing inconsistent.
     """
-    flat = pairs.select("row", "item", "match", F.explode(F.arrays_zip(F.col("slots").alias("d"), F.col("item_slots").alias("b"))).alias("s")).select(
-        "row", "item", "match", F.col("s.d").alias("d"), F.col("s.b").alias("b")
-    )
-    counted = flat.groupBy("row", "item", "d", "b").agg(F.count("*").alias("n"))
-    best_d = counted.groupBy("row", "item", "d").agg(F.max(F.struct("n", "b")).alias("x")).select("row", "item", "d", F.col("x.b").alias("b_of_d"))
-    best_b = counted.groupBy("row", "item", "b").agg(F.max(F.struct("n", "d")).alias("x")).select("row", "item", "b", F.col("x.d").alias("d_of_b"))
+    keys = ["row", "item", "group"]
+    own = F.xxhash64("row", "item", "group", "at", "item_at")
+    pairs = pairs.withColumn("match", own)
+    flat = pairs.select(*keys, "match", (F.col("slots") == F.col("item_slots")).alias("same"), F.explode(F.arrays_zip(F.col("slots").alias("d"), F.col("item_slots").alias("b"))).alias("s"))
+    flat = flat.select(*keys, "match", "same", F.col("s.d").alias("d"), F.col("s.b").alias("b"))
+    counted = flat.groupBy(*keys, "d", "b").agg(F.count("*").alias("n"))
+    best_d = counted.groupBy(*keys, "d").agg(F.max(F.struct("n", "b")).alias("x")).select(*keys, "d", F.col("x.b").alias("b_of_d"))
+    best_b = counted.groupBy(*keys, "b").agg(F.max(F.struct("n", "d")).alias("x")).select(*keys, "b", F.col("x.d").alias("d_of_b"))
     bad = (
-        flat.join(best_d, ["row", "item", "d"])
-        .join(best_b, ["row", "item", "b"])
+        flat.filter(~F.col("same"))
+        .join(best_d, [*keys, "d"])
+        .join(best_b, [*keys, "b"])
         .filter((F.col("b") != F.col("b_of_d")) | (F.col("d") != F.col("d_of_b")))
         .select("match")
         .distinct()
@@ -239,7 +257,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, coverage: floa
     """``doc_id, item_id, windows, item_windows, verbatim`` for every document that holds a benchmark item.
 
     An item counts as held if at least ``coverage`` of its distinct windows (two of them, where it has so many) are found with
-    consistent slots; ``verbatim`` says that no slot differs. Items shorter than a window are one window. Null and empty
+    consistent slots: those with the item's own, and those of the occurrence that adds most to them; ``verbatim`` says that it
+    adds none. Items shorter than a window are one window. Null and empty
     texts hold nothing and are held by nothing; items of equal text are reported each; rows of one ``doc_id`` are judged
     apart and reported once.
     """
@@ -248,19 +267,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, coverage: floa
     slim = tests.select(F.col("row").alias("item"), F.col("at").alias("item_at"), "window", F.col("slots").alias("item_slots"))
     bits = bit_filter(tests, tests.count())
     found = stage(window_rows(docs, "doc_id", n, bits, least_words), "doc_windows")
-    # Windows that a document repeats meet the item once.
-    once = found.groupBy("doc_id", "row", "window", "slots", "plain").agg(F.min("at").alias("at"))
-    items = slim.groupBy("item", "window", "item_slots").agg(F.min("item_at").alias("item_at"))
+    # Windows with equal slots always count, however often a document or an item repeats them.
+    once = found.select("doc_id", "row", "window", F.col("slots").alias("item_slots")).distinct()
+    equal = stage(once.join(slim.select("item", "window", "item_slots").distinct(), ["window", "item_slots"]).select("doc_id", "row", "item", "window").distinct(), "equal")
     pairs = (
-        once.join(items, "window")
+        found.filter(F.size("slots") > 0)
+        .join(slim, "window")
         .filter((F.size("slots") == F.size("item_slots")) & (F.col("plain") | (F.col("slots") == F.col("item_slots"))))
-        .withColumn("match", F.xxhash64("row", "at", "item", "item_at", "window"))
+        .select("doc_id", "row", "item", "at", "item_at", "window", "slots", "item_slots")
     )
-    pairs = stage(pairs.select("doc_id", "row", "item", "window", "match", "slots", "item_slots"), "matches")
-    good = consistent(pairs)
-    held = good.groupBy("doc_id", "row", "item").agg(
-        F.countDistinct("window").alias("windows"), F.min(F.col("slots") == F.col("item_slots")).alias("verbatim")
+    pairs = stage(pairs, "matches")
+    # Only where a slot differs is there anything to judge.
+    differ = pairs.filter(F.col("slots") != F.col("item_slots")).select("row", "item").distinct()
+    good = consistent(stage(occurrences(pairs.join(differ, ["row", "item"], "left_semi")), "occurrences"))
+    more = good.join(equal, ["row", "item", "window"], "left_anti").groupBy("doc_id", "row", "item", "group").agg(F.countDistinct("window").alias("n"))
+    counts = equal.groupBy("doc_id", "row", "item").agg(F.count("*").alias("same"), F.lit(0).cast("long").alias("changed")).unionByName(
+        more.groupBy("doc_id", "row", "item").agg(F.lit(0).cast("long").alias("same"), F.max("n").alias("changed"))
     )
+    held = counts.groupBy("doc_id", "row", "item").agg(F.sum(F.col("same") + F.col("changed")).alias("windows"), (F.sum("changed") == 0).alias("verbatim"))
     sizes = sizes.withColumnRenamed("row", "item")
     enough = F.col("windows") >= F.greatest(F.ceil(F.col("item_windows") * F.lit(coverage)), F.least(F.lit(2), F.col("item_windows")))
     return (

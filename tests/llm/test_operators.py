@@ -362,6 +362,21 @@ def test_inconsistent_slots_do_not_count(spark):
     assert found[1] > found.get(2, 0)
 
 
+def leaked(spark, docs, items):
+    frames = [spark.createDataFrame(x, f"{k} long, text string") for k, x in (("doc_id", docs), ("item_id", items))]
+    return {(r.doc_id, r.item_id): r for r in decontamination.leaks(*frames).collect()}
+
+
+def test_copies_of_an_item_are_judged_apart(spark):
+    shape = "Tom has {} apples and buys {} more at the shop"
+    items = [(i, shape.format(12 + i, 30 + 2 * i)) for i in range(20)]
+    docs = [(i, shape.format(12 + i, 30 + 2 * i) + ". " + shape.format(115 + 7 * i, 245 + 3 * i)) for i in range(20)]
+    docs += [(100 + i, ". ".join(shape.format(500 + 31 * i + k, 700 + 17 * i - k) for k in range(3))) for i in range(20)]
+    got = leaked(spark, docs, items)
+    assert all(got[i, i].verbatim for i in range(20))
+    assert all(not got[100 + i, 0].verbatim for i in range(20))
+
+
 # ---- licenses ----
 
 
