@@ -23,13 +23,13 @@ from lodestone.llm.common import slices, stage
 from lodestone.llm.words import LOWER, hash_spans, linear, stream, word_spans
 
 WINDOW = 8
-# Of a window's tokens so many must be words; with fewer, its slots must be equal to count.
+# So many words of the item (all, if it has fewer) must be met by an occurrence for windows with other slots to count.
 LEAST_WORDS = 5
 # Part of an item's windows that must be found in a document.
 COVERAGE = 0.3
 # Bits of the filter per benchmark window (a power of two in all), and the most bits that are sent to a task.
 FILTER_BITS, MOST_BITS = 64, 1 << 30
-FOUND = "doc_id long, row long, at int, window long, slots array<long>, plain boolean"
+FOUND = "doc_id long, row long, at int, window long, slots array<long>, words array<int>"
 # Units that count as such after a number; fixed values of this library.
 UNITS = (
     "mm cm m km in ft yd mi mg g kg t lb oz ml cl l s sec ms min h hr hrs hours minutes seconds days weeks months years "
@@ -120,11 +120,11 @@ def windows(template: np.ndarray, kinds: np.ndarray, a: int, b: int, n: int) ->
     return (linear(template[a:b], width) if width else np.zeros(0, np.uint64)), width
 
 
-def window_rows(table: DataFrame, key: str, n: int = WINDOW, passing: np.ndarray | None = None, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``doc_id, row, at, window, slots, plain`` for the windows of every text that ``passing`` (a bit filter) lets through.
+def window_rows(table: DataFrame, key: str, n: int = WINDOW, passing: np.ndarray | None = None) -> DataFrame:
+    """``doc_id, row, at, window, slots, words`` for the windows of every text that ``passing`` (a bit filter) lets through.
 
-    ``slots`` are the values of the window's placeholders, in order; ``plain`` says that enough of it is words. ``row`` numbers
-    the rows of the table, so that repeated ids stay apart.
+    ``slots`` are the values of the window's placeholders, in order, and ``words`` the places of its words in the
+    text. ``row`` numbers the rows of the table, so that repeated ids stay apart.
     """
     held = table.sparkSession.sparkContext.broadcast(passing) if passing is not None else None
 
@@ -166,10 +166,10 @@ def window_rows(table: DataFrame, key: str, n: int = WINDOW, passing: np.ndarray
                         out[2].append(w - a)
                         out[3].append(code)
                         out[4].append(value[w : w + width][k].view(np.int64).tolist())
-                        out[5].append(bool((~k).sum() >= min(least_words, width)))
-                kinds_of = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.bool_())
+                        out[5].append((np.flatnonzero(~k) + (w - a)).tolist())
+                kinds_of = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(out, kinds_of, strict=True)], names=["doc_id", "row", "at", "window", "slots", "plain"]
+                    [pa.array(c, t) for c, t in zip(out, kinds_of, strict=True)], names=["doc_id", "row", "at", "window", "slots", "words"]
                 )
 
     named = table.select(
@@ -258,29 +258,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, coverage: floa
 
     An item counts as held if at least ``coverage`` of its distinct windows (two of them, where it has so many) are found with
     consistent slots: those with the item's own, and those of the occurrence that adds most to them; ``verbatim`` says that it
-    adds none. Items shorter than a window are one window. Null and empty
+    adds none. An occurrence whose slots differ must meet ``least_words`` words of the item, or all it has. Items shorter than a window are one window. Null and empty
     texts hold nothing and are held by nothing; items of equal text are reported each; rows of one ``doc_id`` are judged
     apart and reported once.
     """
-    tests = stage(window_rows(benchmark, "item_id", n, None, least_words), "item_windows")
-    sizes = tests.groupBy("row").agg(F.first("doc_id").alias("item_id"), F.countDistinct("window").alias("item_windows"))
-    slim = tests.select(F.col("row").alias("item"), F.col("at").alias("item_at"), "window", F.col("slots").alias("item_slots"))
+    met_words = F.size(F.array_distinct(F.flatten(F.collect_set("words"))))
+    tests = stage(window_rows(benchmark, "item_id", n), "item_windows")
+    sizes = tests.groupBy("row").agg(F.first("doc_id").alias("item_id"), F.countDistinct("window").alias("item_windows"), met_words.alias("item_words"))
+    slim = tests.select(F.col("row").alias("item"), F.col("at").alias("item_at"), "window", F.col("slots").alias("item_slots"), "words")
     bits = bit_filter(tests, tests.count())
-    found = stage(window_rows(docs, "doc_id", n, bits, least_words), "doc_windows")
+    found = stage(window_rows(docs, "doc_id", n, bits), "doc_windows")
     # Windows with equal slots always count, however often a document or an item repeats them.
     once = found.select("doc_id", "row", "window", F.col("slots").alias("item_slots")).distinct()
     equal = stage(once.join(slim.select("item", "window", "item_slots").distinct(), ["window", "item_slots"]).select("doc_id", "row", "item", "window").distinct(), "equal")
-    pairs = (
-        found.filter(F.size("slots") > 0)
-        .join(slim, "window")
-        .filter((F.size("slots") == F.size("item_slots")) & (F.col("plain") | (F.col("slots") == F.col("item_slots"))))
-        .select("doc_id", "row", "item", "at", "item_at", "window", "slots", "item_slots")
-    )
-    pairs = stage(pairs, "matches")
+    slotted = found.filter(F.size("slots") > 0).select("doc_id", "row", "at", "window", "slots")
+    kept = ["doc_id", "row", "item", "at", "item_at", "window", "slots", "item_slots", "words"]
+    alike = F.size("slots") == F.size("item_slots")
+    worded = slim.filter((F.size("item_slots") > 0) & (F.size("words") > 0))
+    pairs = stage(slotted.join(worded, "window").filter(alike).select(kept), "matches")
+    # Windows without words are met only along alignments that others found: rows of numbers would match everywhere.
+    aligned = pairs.select("doc_id", "row", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    bare = aligned.join(slim.filter(F.size("words") == 0), "item").withColumn("at", F.col("shift") + F.col("item_at")).drop("doc_id")
+    bare = slotted.join(bare, ["row", "at", "window"]).filter(alike).select(kept)
+    pairs = stage(pairs.unionByName(bare), "aligned")
     # Only where a slot differs is there anything to judge.
     differ = pairs.filter(F.col("slots") != F.col("item_slots")).select("row", "item").distinct()
     good = consistent(stage(occurrences(pairs.join(differ, ["row", "item"], "left_semi")), "occurrences"))
-    more = good.join(equal, ["row", "item", "window"], "left_anti").groupBy("doc_id", "row", "item", "group").agg(F.countDistinct("window").alias("n"))
+    good = stage(good, "consistent")
+    # A whole match needs words, not each of its windows.
+    words = good.groupBy("row", "item", "group").agg(met_words.alias("met")).join(sizes.select(F.col("row").alias("item"), "item_words"), "item")
+    worded = words.filter(F.col("met") >= F.least(F.lit(least_words), "item_words")).select("row", "item", "group")
+    more = good.join(worded, ["row", "item", "group"], "left_semi").join(equal, ["row", "item", "window"], "left_anti").groupBy("doc_id", "row", "item", "group").agg(F.countDistinct("window").alias("n"))
     counts = equal.groupBy("doc_id", "row", "item").agg(F.count("*").alias("same"), F.lit(0).cast("long").alias("changed")).unionByName(
         more.groupBy("doc_id", "row", "item").agg(F.lit(0).cast("long").alias("same"), F.max("n").alias("changed"))
     )

@@ -377,6 +377,15 @@ def test_copies_of_an_item_are_judged_apart(spark):
     assert all(not got[100 + i, 0].verbatim for i in range(20))
 
 
+def test_slot_dense_items_are_found_with_other_values(spark):
+    train = "A train travels {} km in {} hours and {} km in {} hours"
+    mean = "compute the mean of these values: " + " ".join(["{}"] * 24)
+    items = [(1, train.format(120, 2, 90, 3)), (2, "what is 7 plus 5"), (3, mean.format(*range(3, 51, 2))), (4, " ".join(map(str, range(60, 90))))]
+    docs = [(1, "Before. " + train.format(77, 4, 65, 5) + " and so on"), (2, "what is 9 plus 4"), (3, mean.format(*range(100, 196, 4)))]
+    docs += [(4, train.format(77, 4, 77, 9)[:21] + "s"), (5, " ".join(map(str, range(500, 560)))), (6, " ".join(map(str, range(65, 85))))]
+    assert {k: r.verbatim for k, r in leaked(spark, docs, items).items()} == {(1, 1): False, (2, 2): False, (3, 3): False, (6, 4): True}
+
+
 # ---- licenses ----
 
 
