@@ -12,7 +12,7 @@ item's always count, and copies of an item with different values are judged apar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -114,15 +114,12 @@ def _unit_hashes() -> np.ndarray:
     return _UNIT_HASHES[0]
 
 
-def windows(template: np.ndarray, kinds: np.ndarray, a: int, b: int, n: int) -> tuple[np.ndarray, int]:
-    """Window hashes of one text's tokens ``a`` to ``b`` and the windows' width; a short text is one window."""
-    width = min(n, b - a)
-    return (linear(template[a:b], width) if width else np.zeros(0, np.uint64)), width
-
-
-def window_rows(table: DataFrame, key: str, n: int = WINDOW, passing: np.ndarray | None = None) -> DataFrame:
+def window_rows(table: DataFrame, key: str, n: int = WINDOW, passing: np.ndarray | None = None, short: Sequence[int] = ()) -> DataFrame:
     """``doc_id, row, at, window, slots, words`` for the windows of every text that ``passing`` (a bit filter) lets through.
 
+    Without a filter a text of fewer than ``n`` tokens is one window of its own width. With one, windows have ``n`` tokens
+    and, for items that are shorter, the widths in ``short``.
+
     ``slots`` are the values of the window's placeholders, in order, and ``words`` the places of its words in the
     text. ``row`` numbers the rows of the table, so that repeated ids stay apart.
     """
@@ -135,38 +132,23 @@ def window_rows(table: DataFrame, key: str, n: int = WINDOW, passing: np.ndarray
             for at, _, data, offsets in slices(batch):
                 template, value, kinds, first = canonical(data, offsets)
                 out: list[list] = [[], [], [], [], [], []]
-                long = linear(template, n)
-                if bits is None:
-                    hit = np.ones(len(long), bool)
-                else:
-                    hit = passes(bits, long)
-                hits = np.flatnonzero(hit)
-                bounds = first.tolist()
-                ends = np.searchsorted(hits, first)
-                for i in range(len(bounds) - 1):
-                    a, b = bounds[i], bounds[i + 1]
-                    if b - a >= n:
-                        found = hits[ends[i] : np.searchsorted(hits, b - n + 1)]
-                        codes, width = long[found], n
-                    elif b > a:
-                        codes, width = windows(template, kinds, a, b, n)
-                        found = np.array([a])
-                        if bits is not None:
-                            keep = passes(bits, codes)
-                            codes, found = codes[keep], found[keep]
-                    else:
-                        continue
-                    if not len(found):
-                        continue
-                    doc, row = ids[at + i].as_py(), rows[at + i].as_py()
-                    for w, code in zip(found.tolist(), codes.view(np.int64).tolist(), strict=True):
-                        k = kinds[w : w + width] != WORD_KIND
-                        out[0].append(doc)
-                        out[1].append(row)
-                        out[2].append(w - a)
+                for width in [*(short if bits is not None else range(1, n)), n]:
+                    codes = linear(template, width)
+                    found = np.flatnonzero(passes(bits, codes)) if bits is not None else np.arange(len(codes))
+                    # Windows within one text, and without a filter short ones only of texts that have just so many tokens.
+                    text = np.searchsorted(first, found, side="right") - 1
+                    inside = found + width <= first[text + 1]
+                    if bits is None and width < n:
+                        inside &= first[text + 1] - first[text] == width
+                    found, text = found[inside], text[inside]
+                    for w, i, code in zip(found.tolist(), text.tolist(), codes[found].view(np.int64).tolist(), strict=True):
+                        k, begin = kinds[w : w + width] != WORD_KIND, int(first[i])
+                        out[0].append(ids[at + i].as_py())
+                        out[1].append(rows[at + i].as_py())
+                        out[2].append(w - begin)
                         out[3].append(code)
                         out[4].append(value[w : w + width][k].view(np.int64).tolist())
-                        out[5].append((np.flatnonzero(~k) + (w - a)).tolist())
+                        out[5].append((np.flatnonzero(~k) + (w - begin)).tolist())
                 kinds_of = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(out, kinds_of, strict=True)], names=["doc_id", "row", "at", "window", "slots", "words"]
@@ -258,7 +240,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, coverage: floa
 
     An item counts as held if at least ``coverage`` of its distinct windows (two of them, where it has so many) are found with
     consistent slots: those with the item's own, and those of the occurrence that adds most to them; ``verbatim`` says that it
-    adds none. An occurrence whose slots differ must meet ``least_words`` words of the item, or all it has. Items shorter than a window are one window. Null and empty
+    adds none. An occurrence whose slots differ must meet ``least_words`` words of the item, or all it has. Items shorter than a window are one window,
+    looked for at every place of a document. Null and empty
     texts hold nothing and are held by nothing; items of equal text are reported each; rows of one ``doc_id`` are judged
     apart and reported once.
     """
@@ -267,7 +250,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, coverage: floa
     sizes = tests.groupBy("row").agg(F.first("doc_id").alias("item_id"), F.countDistinct("window").alias("item_windows"), met_words.alias("item_words"))
     slim = tests.select(F.col("row").alias("item"), F.col("at").alias("item_at"), "window", F.col("slots").alias("item_slots"), "words")
     bits = bit_filter(tests, tests.count())
-    found = stage(window_rows(docs, "doc_id", n, bits), "doc_windows")
+    # An item of fewer than n tokens is one window without gaps, as wide as its slots and words.
+    widths = tests.select((F.size("slots") + F.size("words")).alias("width")).distinct().filter(F.col("width") < n)
+    found = stage(window_rows(docs, "doc_id", n, bits, sorted(r.width for r in widths.collect())), "doc_windows")
     # Windows with equal slots always count, however often a document or an item repeats them.
     once = found.select("doc_id", "row", "window", F.col("slots").alias("item_slots")).distinct()
     equal = stage(once.join(slim.select("item", "window", "item_slots").distinct(), ["window", "item_slots"]).select("doc_id", "row", "item", "window").distinct(), "equal")

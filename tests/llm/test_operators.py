@@ -386,6 +386,15 @@ def test_slot_dense_items_are_found_with_other_values(spark):
     assert {k: r.verbatim for k, r in leaked(spark, docs, items).items()} == {(1, 1): False, (2, 2): False, (3, 3): False, (6, 4): True}
 
 
+def test_short_items_are_found_inside_long_texts(spark):
+    filler = "the river ran on past the old stone harbor until winter came and went again"
+    items = [(1, "what is seven"), (2, "what is 7 plus 5"), (3, "seven"), (4, "harbor winter")]
+    docs = [(1, f"{filler} what is seven {filler}"), (2, f"{filler} what is 9 plus 4"), (3, filler), (4, "is seven"), (5, "what is")]
+    docs += [(6, "end with what is"), (7, "seven begins here and goes on for a while")]
+    got = {k: r.verbatim for k, r in leaked(spark, docs, items).items()}
+    assert got == {(1, 1): True, (1, 3): True, (2, 2): False, (4, 3): True, (7, 3): True}
+
+
 # ---- licenses ----
 
 
