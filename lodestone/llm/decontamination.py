@@ -29,6 +29,8 @@ LEAST_WORDS = 5
 COVERAGE = 0.3
 # Bits of the filter per benchmark window (a power of two in all), and the most bits that are sent to a task.
 FILTER_BITS, MOST_BITS = 64, 1 << 30
+# Bytes of the filter that a task packs into one row.
+PACKED = 1 << 20
 FOUND = "doc_id long, row long, at int, window long, slots array<long>, words array<int>"
 # Units that count as such after a number; fixed values of this library.
 UNITS = (
@@ -190,9 +192,18 @@ def bit_filter(items: DataFrame, windows_count: int) -> np.ndarray:
     set_ = items.select(both.alias("bit")).groupBy(F.shiftright("bit", 3).alias("byte")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("bit").bitwiseAND(F.lit(7).cast("long")).cast("int"))).alias("value")
     )
+    # Tasks pack ranges of bytes; the driver puts whole ranges in place.
+    held = min(bits // 8, PACKED)
+
+    def pack(table: pa.Table) -> pa.Table:
+        part = np.zeros(held, np.uint8)
+        part[table.column("byte").to_numpy() % held] = table.column("value").to_numpy()
+        return pa.table({"nth": table.column("nth").slice(0, 1), "part": pa.array([part.tobytes()], pa.binary())})
+
+    packed = set_.withColumn("nth", F.expr(f"byte div {held}")).groupBy("nth").applyInArrow(pack, "nth long, part binary")
     out = np.zeros(bits // 8, np.uint8)
-    for row in set_.toLocalIterator(prefetchPartitions=True):
-        out[row.byte] = row.value
+    for row in packed.toLocalIterator(prefetchPartitions=True):
+        out[row.nth * held : (row.nth + 1) * held] = np.frombuffer(row.part, np.uint8)
     return out
 
 

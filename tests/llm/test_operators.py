@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from lodestone.llm import (
     automaton,
@@ -395,6 +396,25 @@ def test_short_items_are_found_inside_long_texts(spark):
     assert got == {(1, 1): True, (1, 3): True, (2, 2): False, (4, 3): True, (7, 3): True}
 
 
+def test_filter_comes_in_packed_ranges(spark, monkeypatch):
+    """The driver gets a row for each range of the filter, not for each of its bytes, and the same bits."""
+    codes = [random.Random(4).getrandbits(64) - (1 << 63) for _ in range(3000)]
+    seen, iterate = [], DataFrame.toLocalIterator
+
+    def counted(frame, *args, **kwargs):
+        for row in iterate(frame, *args, **kwargs):
+            seen.append(1)
+            yield row
+
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", counted)
+    bits = decontamination.bit_filter(spark.createDataFrame([(c,) for c in codes], "window long"), 40_000)
+    hashes = np.array(codes, np.int64).view(np.uint64)
+    size = np.uint64(len(bits) * 8 - 1)
+    expected = np.zeros(len(bits) * 8, np.uint8)
+    expected[hashes & size] = expected[(hashes >> np.uint64(32)) & size] = 1
+    assert (np.packbits(expected, bitorder="little") == bits).all() and len(seen) <= 2
+
+
 # ---- licenses ----
 
 
