@@ -431,6 +431,16 @@ def test_license_templates(spark, docs):
     assert all(len(r.templates) == 0 for r in license_scan.scan(docs).collect())
 
 
+def test_statements_with_other_marks_and_other_licenses(spark):
+    filler = "some words before the notice"
+    said = [("Released under the MIT License", "mit"), ("(released under the MIT License), as said", "mit"), ('"Licensed under CC BY-NC 4.0"', "cc-by-nc-4.0"), ("Licensed under the Apache License, version 2.0, and", "apache-2.0"), ("under the GNU Lesser General Public License v2.1", "lgpl-2.1"), ("GNU Affero General Public License, version 3", "agpl-3.0"), ("under the ISC license", "isc"), ("CC0 1.0 Universal", "cc0-1.0"), ("licensed under CC BY-SA 4.0!", "cc-by-sa-4.0"), ("released under the Unlicense.", "unlicense"), ("SPDX-License-Identifier: GPL-2.0-or-later", "gpl-2.0"), ("This work is licensed under the GNU General Public License, version 2.", "gpl-2.0"), ("This work is licensed under the GNU General Public License, version 3.", "gpl-3.0")]
+    rows = [(i, f"{filler} {text} {filler}") for i, (text, _) in enumerate(said)]
+    rows.append((100, "x\n" + "\n".join(" * " + line for line in license_scan.TEMPLATES[1][1].split(", "))))
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i].templates for i in range(len(said))} == {i: [name] for i, (_, name) in enumerate(said)}
+    assert got[100].templates == ["mit"] and got[12].first_words == [5] and got[12].last_words == [16]
+
+
 def test_band_settings_keep_their_bound():
     for similarity in (0.1, 0.2, 0.5, 0.9):
         rows = license_scan.band_rows(similarity)
