@@ -230,7 +230,7 @@ def archive_states(sessions: DataFrame, markers: DataFrame) -> DataFrame:
 
 
 def session_detail(sessions: DataFrame, events: DataFrame, session_id: str, parent: str = "subagent_parent") -> DataFrame:
-    """One session with its event kinds, touches, children and label."""
+    """One session with its event kinds, touch counts, number of children and the first of them."""
     mine = events.filter(F.col("session_id") == session_id)
     kinds = kind_count_map(mine)
     touches = touch_counts(mine)
