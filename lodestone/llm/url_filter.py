@@ -22,7 +22,7 @@ from lodestone.llm.common import stage
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Share of a host's rank that moves on along links; the rest returns to the seeds.
 DAMPING = 0.85
-MAX_ROUNDS = 40
+# Ranks are done when no host's moves by more than this part of itself.
 TOLERANCE = 1e-6
 THRESHOLD = 0.5
 
@@ -81,25 +81,25 @@ def links(pages: DataFrame) -> DataFrame:
     return found.filter("src <> '' and dst <> src").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = MAX_ROUNDS) -> DataFrame:
+def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING) -> DataFrame:
     """``host, rank`` of personalised PageRank from ``seeds`` (``host, seed``, summing to 1) over ``edges`` (``src, dst, weight``).
 
     Ranks are summed per target before they are shuffled, and every round is written, so plans stay short. Rank that
-    reaches a host without links goes no further. It ends when a round moves less than ``TOLERANCE`` in all.
+    reaches a host without links goes no further. It ends when a round moves no host's rank by more than ``TOLERANCE`` of
+    it, so every host that links reach has its rank, however far; damping bounds the rounds after the last is reached.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("_all"))
     shares = stage(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_all")).alias("share")), "shares")
     start = stage(seeds.select("host", (F.col("seed") * (1 - damping)).alias("base")), "seeds")
     ranks = start.select("host", F.col("base").alias("rank"))
-    for _ in range(rounds):
+    while True:
         sent = ranks.join(shares, ranks["host"] == shares["src"]).groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("rank") * F.col("share"))).alias("got"))
         parts = sent.select("host", "got", F.lit(0.0).alias("was")).union(start.select("host", F.col("base"), F.lit(0.0))).union(ranks.select("host", F.lit(0.0), F.col("rank")))
         new = stage(parts.groupBy("host").agg(F.sum("got").alias("rank"), F.sum("was").alias("was")), "ranks")
-        moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0
+        still = new.filter(F.abs(F.col("rank") - F.col("was")) > TOLERANCE * F.col("rank")).isEmpty()
         ranks = new.select("host", "rank")
-        if moved < TOLERANCE:
-            break
-    return ranks
+        if still:
+            return ranks
 
 
 def host_scores(judged: DataFrame, edges: DataFrame, damping: float = DAMPING) -> DataFrame:

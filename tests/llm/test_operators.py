@@ -336,6 +336,15 @@ def test_trust_and_distrust_spread(spark):
     assert url_filter.judge(table.limit(0)).collect() == []
 
 
+def test_hosts_far_from_every_seed_get_their_verdict(spark):
+    """A chain of 45 links to a blocked host: all of it is suspect, with the rank of its distance."""
+    hosts = [f"h{i}.net" for i in range(45)] + ["bad.com"]
+    pages = [(i, f"http://{h}/", f'<a href="http://{hosts[i + 1]}/de/">l</a>') for i, h in enumerate(hosts[:-1])] + [(99, "http://bad.com/de/", None)]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(r.verdict == "block" for r in got.values())
+    assert all(got[i].distrust == pytest.approx(0.15 * 0.85 ** (45 - i), rel=1e-4) for i in range(45))
+
+
 # ---- benchmark ----
 
 ITEM = "Alice walked slowly 12 km from Paris to Lyon and then bought 30 apples for 5 dollars before the long winter came again to the quiet river town"
