@@ -407,7 +407,8 @@ def test_short_items_are_found_inside_long_texts(spark):
 
 def test_filter_comes_in_packed_ranges(spark, monkeypatch):
     """The driver gets a row for each range of the filter, not for each of its bytes, and the same bits."""
-    codes = [random.Random(4).getrandbits(64) - (1 << 63) for _ in range(3000)]
+    rng = random.Random(4)
+    codes = [rng.getrandbits(64) - (1 << 63) for _ in range(3000)]
     seen, iterate = [], DataFrame.toLocalIterator
 
     def counted(frame, *args, **kwargs):
