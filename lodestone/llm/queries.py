@@ -9,16 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import (
+    alignment,
     chat_format,
     decontamination,
     license_scan,
     mixing,
     near_dedup,
+    personal_data,
     quality_classifier,
     quality_rules,
     secret_scan,
     token_store,
     url_filter,
+    vector_codes,
 )
 from lodestone.llm.common import configure, read, stage
 from lodestone.session import fresh_path
@@ -80,9 +83,12 @@ def op10_decontamination(spark: SparkSession, root: str) -> DataFrame:
 
 @query("op5_secret_scan")
 def op5_secret_scan(spark: SparkSession, root: str) -> DataFrame:
-    found = secret_scan.find_secrets(read(spark, root, "documents"))
+    return _span_digest(secret_scan.find_secrets(read(spark, root, "documents")), [r.kind for r in secret_scan.BASE_RULES])
+
+
+def _span_digest(found: DataFrame, base: list[str], *more: str) -> DataFrame:
+    """Counts of the base kinds, the digest of their spans, and all spans of ``found`` (kinds, starts, ends)."""
     spans = F.arrays_zip(F.col("kinds").alias("k"), F.col("starts").alias("s"), F.col("ends").alias("e"))
-    base = [r.kind for r in secret_scan.BASE_RULES]
 
     def joined(x):
         return F.array_join(F.transform(x, lambda v: F.concat_ws(":", v["k"], v["s"].cast("string"), v["e"].cast("string"))), ",")
@@ -93,9 +99,32 @@ def op5_secret_scan(spark: SparkSession, root: str) -> DataFrame:
         *[count(k) for k in base],
         F.sha2(joined(F.filter(spans, lambda v: v["k"].isin(base))), 256).alias("base_sha256"),
         joined(spans).alias("spans"),
+        *more,
     )
 
 
+@query("op12_pii")
+def op12_pii(spark: SparkSession, root: str) -> DataFrame:
+    """Personal data of every document; ``scores`` go with ``spans``."""
+    found = personal_data.find_personal_data(read(spark, root, "documents"))
+    scored = found.withColumn("scores", F.array_join(F.transform("scores", lambda x: x.cast("string")), ","))
+    return _span_digest(scored, [k.name for k in personal_data.BASE_KINDS], "scores")
+
+
+@query("op11_alignment")
+def op11_alignment(spark: SparkSession, root: str) -> DataFrame:
+    """Every document aligned by two tokenizers, with the corpus-wide counts of its pairs of ids."""
+    names = ("byte_bpe_50k.json", "piece_bpe_32k.model")
+    found = alignment.aligned(read(spark, root, "documents"), *[public_tokenizers.path(n) for n in names])
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+
+
+@query("op13_vector_codes")
+def op13_vector_codes(spark: SparkSession, root: str) -> DataFrame:
+    return vector_codes.compressed(read(spark, root, "embeddings"))
+
+
 @query("op8_url_filter")
 def op8_url_filter(spark: SparkSession, root: str) -> DataFrame:
     return url_filter.judge(read(spark, root, "pages"))
