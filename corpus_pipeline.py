@@ -15,19 +15,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontamination, mixing, near_dedup, quality_classifier, token_store
-from lodestone.llm.common import bounded, configure, read, stage
+from lodestone.llm.common import configure, read, stage
 from lodestone.session import fresh_path
 
-# Ids of up to so many rows are sent to every task; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+# Up to so many ids, some 10 MB, are sent to every task; more are joined by a shuffle.
+BROADCAST_IDS = 200_000
+# The stage has no contract of its own: near-duplicates agree in four fifths of their shingles. Such a pair misses all 40 bands
+# of 5 minima with a chance of 1e-7, and the signature floor with about as much.
+NEAR = {"percent": 80, "bands": 40, "rows": 5, "floor": 0.64}
 # SQL cannot state the stages; a test holds three of them against brute force, quality and benchmark against their operators.
 ORACLE_SQL = None
 
 
+def _sent(ids: DataFrame) -> tuple[DataFrame, bool]:
+    """The ids (``_id``, staged, distinct) that are not null, to be broadcast if they are few; and whether null is one."""
+    rows, named = ids.agg(F.count("*"), F.count("_id")).first()
+    some = ids.filter("_id is not null")
+    return F.broadcast(some) if named <= BROADCAST_IDS else some, rows > named
+
+
 def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Rows of ``docs`` whose id is (``left_semi``) or is not (``left_anti``) among ``ids``; null is an id."""
-    ids = bounded(stage(ids.select(F.col("doc_id").alias("_id")).distinct(), "ids"), BROADCAST_IDS)
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), how)
+    ids, null_too = _sent(stage(ids.select(F.col("doc_id").alias("_id")).distinct(), "ids"))
+    found = docs.join(ids, docs["doc_id"] == ids["_id"], how)
+    if how == "left_semi":
+        return found.unionByName(docs.filter(docs["doc_id"].isNull())) if null_too else found
+    return found.filter(docs["doc_id"].isNotNull()) if null_too else found
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +52,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     configure(spark)
-    kept = stage(near_dedup.near_duplicates(docs).filter("kept").select("doc_id"), "kept")
-    docs = _by_id(docs, kept, "left_semi")
-    repeated = kept.groupBy("doc_id").count().filter("count > 1")
+    found = near_dedup.near_duplicates(docs, **NEAR)
+    rows = stage(found.groupBy("doc_id").agg(F.count_if("kept").alias("n")).filter("n <> 1"), "not_once")
+    docs = _by_id(docs, rows.filter("n = 0"), "left_anti")
+    repeated = rows.filter("n > 1")
     if repeated.isEmpty():
         return docs
     return _by_id(docs, repeated, "left_anti").unionByName(_by_id(docs, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
@@ -53,12 +67,17 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it. Columns travel in a struct, so their names meet no others."""
     configure(spark)
-    taken = mixing.mixed(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies"))
-    taken = bounded(stage(taken.filter("_copies > 0"), "copies"), BROADCAST_IDS)
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    taken = mixing.mixed(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("copies"))
+    taken = stage(taken.filter("copies > 0"), "copies")
+    some, null_too = _sent(taken)
+    rows = docs.select(F.struct("*").alias("row"))
+    found = rows.join(some, F.col("row.doc_id") == F.col("_id")).select("row", "copies")
+    if null_too:
+        unnamed = taken.filter("_id is null").select("copies")
+        found = found.unionByName(rows.filter("row.doc_id is null").join(F.broadcast(unnamed)).select("row", "copies"))
+    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
