@@ -16,6 +16,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,7 +117,7 @@ def _unit_hashes() -> np.ndarray:
     return _UNIT_HASHES[0]
 
 
-def window_rows(table: DataFrame, key: str, n: int = WINDOW, passing: np.ndarray | None = None, short: Sequence[int] = ()) -> DataFrame:
+def window_rows(table: DataFrame, key: str, n: int = WINDOW, passing: Broadcast | None = None, short: Sequence[int] = ()) -> DataFrame:
     """``doc_id, row, at, window, slots, words`` for the windows of every text that ``passing`` (a bit filter) lets through.
 
     Without a filter a text of fewer than ``n`` tokens is one window of its own width. With one, windows have ``n`` tokens
@@ -125,10 +126,8 @@ def window_rows(table: DataFrame, key: str, n: int = WINDOW, passing: np.ndarray
     ``slots`` are the values of the window's placeholders, in order, and ``words`` the places of its words in the
     text. ``row`` numbers the rows of the table, so that repeated ids stay apart.
     """
-    held = table.sparkSession.sparkContext.broadcast(passing) if passing is not None else None
-
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = held.value if held is not None else None
+        bits = passing.value if passing is not None else None
         for batch in batches:
             ids, rows = batch.column(0), batch.column(1)
             for at, _, data, offsets in slices(batch):
@@ -260,10 +259,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, coverage: floa
     tests = stage(window_rows(benchmark, "item_id", n), "item_windows")
     sizes = tests.groupBy("row").agg(F.first("doc_id").alias("item_id"), F.countDistinct("window").alias("item_windows"), met_words.alias("item_words"))
     slim = tests.select(F.col("row").alias("item"), F.col("at").alias("item_at"), "window", F.col("slots").alias("item_slots"), "words")
-    bits = bit_filter(tests, tests.count())
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(tests, tests.count()))
     # An item of fewer than n tokens is one window without gaps, as wide as its slots and words.
     widths = tests.select((F.size("slots") + F.size("words")).alias("width")).distinct().filter(F.col("width") < n)
     found = stage(window_rows(docs, "doc_id", n, bits, sorted(r.width for r in widths.collect())), "doc_windows")
+    bits.destroy()
     # Windows with equal slots always count, however often a document or an item repeats them.
     once = found.select("doc_id", "row", "window", F.col("slots").alias("item_slots")).distinct()
     equal = stage(once.join(slim.select("item", "window", "item_slots").distinct(), ["window", "item_slots"]).select("doc_id", "row", "item", "window").distinct(), "equal")

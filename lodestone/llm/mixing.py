@@ -21,8 +21,9 @@ from lodestone.llm.text_stats import words_of
 from lodestone.operators.blocks import block_of, dense_seq, running_sum
 
 CAP = 3
-STEPS = 60
 TOLERANCE = 1e-9
+# Up to so many sources, their state of the iteration passes through the driver, one row each; more are staged by every step.
+DRIVER_SOURCES = 10_000
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -68,9 +69,11 @@ def _rate(tilt: Column, size: Column, mean: Column) -> Column:
 def tilts(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
     """``source_key, mean, tilt``: the dual variables at which capped exponential rates meet the targets.
 
-    A Newton step that leaves the bracket known so far is replaced by its middle. A source that must be taken
+    A Newton step that leaves the bracket known so far is replaced by its middle. Steps end when every source is
+    within the tolerance or at a tilt that no step moves. A source that must be taken
     ``CAP`` times whole has an infinite tilt; one without words has none to find and keeps 0.
     """
+    spark = sizes.sparkSession
     table = stage(sizes.filter("size > 0").groupBy("source_key", "size").agg(F.count("*").alias("docs")), "sizes")
     means = table.groupBy("source_key").agg((F.sum(F.col("size") * F.col("docs")) / F.sum("docs")).alias("mean"))
     capped = F.col("target") >= CAP * F.col("source_size") * (1 - 1e-12)
@@ -82,10 +85,15 @@ def tilts(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
         F.lit(-math.inf).alias("lo"),
         F.lit(math.inf).alias("hi"),
     )
-    state = stage(state, "tilts")
+    few = wanted.limit(DRIVER_SOURCES + 1).count() <= DRIVER_SOURCES
+
+    def held(df: DataFrame) -> DataFrame:
+        return spark.createDataFrame(df.collect(), df.schema) if few else stage(df, "tilts")
+
+    state = held(state)
     rate = _rate(F.col("tilt"), F.col("size"), F.col("mean"))
     words = F.col("size") * F.col("docs")
-    for _ in range(STEPS):
+    while True:
         sums = (
             table.join(state.select("source_key", "tilt", "mean"), "source_key")
             .groupBy("source_key")
@@ -110,10 +118,11 @@ def tilts(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
         )
         inside = (newton > F.col("lo")) & (newton < F.col("hi")) & (F.col("slope") > 0)
         moved = F.when(open_ & (F.col("off") > TOLERANCE), F.when(inside, newton).otherwise(middle)).otherwise(F.col("tilt"))
-        state = stage(stepped.select("source_key", "target", "mean", moved.alias("tilt"), "lo", "hi", "off"), "tilts")
-        if (state.agg(F.max("off")).first()[0] or 0.0) <= TOLERANCE:
-            break
-    return state.select("source_key", "mean", "tilt")
+        moving = (F.col("off") > TOLERANCE) & (moved != F.col("tilt"))
+        stepped = held(stepped.select("source_key", "target", "mean", moved.alias("tilt"), "lo", "hi", moving.alias("moving")))
+        state = stepped.drop("moving")
+        if stepped.filter("moving").isEmpty():
+            return state.select("source_key", "mean", "tilt")
 
 
 def _with_figures(rows: DataFrame, figures: DataFrame) -> DataFrame:

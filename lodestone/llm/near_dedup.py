@@ -32,12 +32,12 @@ from lodestone.llm.words import shingle_sets, stream
 BANDS, ROWS = 32, 6
 # Candidates must agree in so large a part of their minima before sets are compared.
 SIGNATURE_FLOOR = 0.72
-# Members of a part of a bucket, on average.
-PART = 512
+# Members of a part of a bucket, and bytes of their shingles, on average.
+PART, PART_BYTES = 512, 32 << 20
 # Columns of shingles that two parts are compared over at a time.
 COLUMNS = 4096
-# Up to so many ids are sent to every task when texts are looked up; beyond, texts are shuffled.
-BROADCAST_IDS = 2_000_000
+# Up to so many ids, some 20 MB, are sent to every task when texts are looked up; beyond, texts are shuffled.
+BROADCAST_IDS = 200_000
 SIGNED = "doc_id long, n_shingles long, digest binary, signature binary"
 
 
@@ -79,7 +79,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int =
 
 
 def band_rows(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``node, bucket``: a bucket is the hash of a band's number and minima, two hashes wide."""
+    """``node, n_shingles, bucket``: a bucket is the hash of a band's number and minima, two hashes wide."""
     width = 4 * rows
     keys = F.array(
         *[
@@ -88,7 +88,7 @@ def band_rows(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
             for part in [F.substring("signature", 1 + b * width, width)]
         ]
     )
-    return nodes.select("node", F.explode(keys).alias("bucket"))
+    return nodes.select("node", "n_shingles", F.explode(keys).alias("bucket"))
 
 
 def agreeing(pairs: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
@@ -204,7 +204,14 @@ def links_between(rest: DataFrame, held: DataFrame, percent: int, part: int = PA
 
 
 def near_duplicates(
-    docs: DataFrame, percent: int = 85, shingle: int = 5, bands: int = BANDS, rows: int = ROWS, floor: float = SIGNATURE_FLOOR, part: int = PART
+    docs: DataFrame,
+    percent: int = 85,
+    shingle: int = 5,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    floor: float = SIGNATURE_FLOOR,
+    part: int = PART,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (doc_id, text).
 
@@ -213,9 +220,9 @@ def near_duplicates(
     a null id is never least unless it is alone, and such a row counts as kept. An empty table gives no rows.
     """
     table = stage(signed(docs, bands, rows, shingle), "signed")
-    one = F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "signature")).alias("one")
+    one = F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "n_shingles", "signature")).alias("one")
     nodes = table.filter("digest is not null").groupBy(F.col("digest").alias("node")).agg(one)
-    nodes = stage(nodes.select("node", "one.doc_id", "one.signature"), "classes")
+    nodes = stage(nodes.select("node", "one.doc_id", "one.n_shingles", "one.signature"), "classes")
     members = band_rows(nodes, bands, rows)
     shared = stage(
         members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1").select("bucket", "least"), "buckets"
@@ -228,9 +235,10 @@ def near_duplicates(
     roots = stage(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
 
     # Buckets that still hold several components.
-    rooted = placed.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    split = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / F.lit(part)).alias("parts"))
-    rest = stage(rooted.join(split.filter("lo <> hi").select("bucket", "parts"), "bucket"), "rest")
+    rooted = placed.select("bucket", "node", "n_shingles").join(roots, "node", "left").select("bucket", "node", "n_shingles", F.coalesce("root", "node").alias("root"))
+    parts = F.greatest(F.ceil(F.count("*") / F.lit(part)), F.ceil(F.sum("n_shingles") * 8 / F.lit(part_bytes)))
+    split = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), parts.alias("parts"))
+    rest = stage(rooted.drop("n_shingles").join(split.filter("lo <> hi").select("bucket", "parts"), "bucket"), "rest")
     more = stage(links_between(rest, sets_of(rest, nodes, docs, shingle), percent, part), "more")
     if not more.isEmpty():
         roots = stage(components(links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")

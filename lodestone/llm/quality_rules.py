@@ -85,7 +85,7 @@ def estimate(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = 2000) ->
     Rows are picked by a hash of their id, so repeated ids come or stay together; the sample decides order only.
     """
     share = min(1.0, sample_rows / max(docs.count(), 1))
-    chosen = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("rules")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    chosen = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("rules")), F.lit(1 << 40)) < F.lit(share * (1 << 40)))
     sample = stage(measured(stage(chosen.select("doc_id", "text"), "rule_texts")).filter(~base_failed()), "rule_sample")
     out = []
     for rule in rules:

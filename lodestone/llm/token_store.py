@@ -198,6 +198,16 @@ def train_dictionary(
     return int(np.int64(np.uint64(xxhash.xxh64_intdigest(made)))), made
 
 
+def _width(spark: SparkSession, path: str, end_id: int) -> int:
+    """Bytes of an id, asked of a task: the driver holds no tokenizer."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([encoder(path, end_id).width], pa.int32())], names=["width"])
+
+    return spark.range(1).repartition(1).mapInArrow(ask, "width int").first().width
+
+
 def compressor(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
     if dictionary:
         return zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary))
@@ -217,7 +227,7 @@ def write_tokens(
     spark = docs.sparkSession
     docs = texts(docs)
     dict_hash, dictionary = train_dictionary(docs, tokenizer, end_id, dictionary_documents)
-    width = encoder(tokenizer, end_id).width
+    width = _width(spark, tokenizer, end_id)
     spark.createDataFrame(
         [(dict_hash, bytearray(dictionary), width)], "dict_hash long, dictionary binary, width int"
     ).write.parquet(f"{folder}/dictionary")

@@ -151,6 +151,27 @@ def test_near_duplicates_equal_brute_force(spark, part):
     assert all(r.kept == (r.doc_id == r.component_id) for r in out.collect() if r.doc_id is not None)
 
 
+def test_very_long_near_copies_are_cut_by_bytes(spark):
+    """A bucket of long texts is compared in parts that hold few of them."""
+    rng = random.Random(8)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(6000)]
+    rows = []
+    for i in range(6):
+        near = list(long)
+        for k in range(i * 60):
+            near[(k * 331 + i * 17) % len(near)] = f"x{i}_{k}"
+        rows.append((i, " ".join(near)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    linked = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a, b in linked:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, part_bytes=100_000).collect()}
+    assert got == root and len(set(root.values())) > 1
+
+
 def test_near_duplicates_of_nothing(nothing):
     assert near_dedup.near_duplicates(nothing).collect() == []
 
