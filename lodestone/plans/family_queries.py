@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.digests import identity_key, session_id
 from lodestone.operators import families as G
+from lodestone.operators import family_upkeep as K
 from lodestone.operators import search as S
 from lodestone.operators import sessions as N
 from lodestone.plans.registry import LINES_SQL, query
+from lodestone.session import stage
 from lodestone.sources.tables import document_lines, read_table, whole_documents
 
 
@@ -65,6 +67,36 @@ def family_sizes(spark, root):
     return G.fork_families(lines(spark, root)).groupBy("family_key").agg(F.count("*").alias("members"))
 
 
+_REVISED = """docs AS (SELECT doc_id, lang, source, text FROM documents WHERE source IS DISTINCT FROM (SELECT max(source) FROM documents)),
+lines AS (SELECT CAST(doc_id AS VARCHAR) AS session_id, lang AS harness_id, i AS seq, nullif(parts[i], '') AS text
+  FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS parts FROM docs) d, LATERAL (SELECT unnest(range(1, len(d.parts) + 1)) AS i) u)"""
+_AFTER = _FAMILIES.replace(LINES_SQL, _REVISED)
+
+
+def revised(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents in two states: holdings before, touched sessions, and holdings of those now.
+
+    The first source comes in, the last one goes, and short documents (under 400 characters) had but their first line before.
+    """
+    docs = read_table(spark, root, "documents")
+    first, last = docs.agg(F.min("source"), F.max("source")).first()
+    state = F.when(F.col("source") == last, "removed").when(F.col("source") == first, "added").when(F.col("n_chars") < 400, "changed").otherwise("same")
+    states = docs.select(F.col("doc_id").cast("string").alias("session_id"), state.alias("state"))
+    every = lines(spark, root).withColumn("identity_key", F.col("source_event_id")).join(states, "session_id")
+    before = every.filter("state <> 'added' and (state <> 'changed' or seq = 1)")
+    touched = states.filter("state <> 'same'").select("session_id")
+    return K.all_holdings(before), touched, K.all_holdings(every.filter("state in ('added', 'changed')"))
+
+
+@query("families_after_changes", f"WITH RECURSIVE {_AFTER} SELECT session_id, family_key FROM fam")
+def families_after_changes(spark, root):
+    held, touched, fresh = revised(spark, root)
+    held = stage(held, "held")
+    edges = G.identity_edges(held)
+    families = stage(G.components(edges).toDF("session_id", "family_key"), "families")
+    return K.apply_family_changes(families, K.family_changes(families, held, touched, fresh))
+
+
 @query(
     "family_facts",
     f"""WITH RECURSIVE {_FAMILIES},
