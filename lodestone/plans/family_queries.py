@@ -213,7 +213,9 @@ p AS (SELECT a.harness_id, a.session_id, b.session_id AS partner, count(*) AS sh
   WHERE a.session_id <> b.session_id GROUP BY 1, 2, 3),
 t AS (SELECT harness_id, session_id, count(*) AS total_events FROM ch GROUP BY 1, 2)
 SELECT harness_id, session_id, first(partner ORDER BY shared DESC, partner) AS with_session, max(shared) AS shared_events,
-  any_value(total_events) AS total_events, count(*) - 1 AS further_sessions FROM p JOIN t USING (harness_id, session_id) GROUP BY 1, 2""",
+  any_value(total_events) AS total_events, count(*) - 1 AS further_sessions,
+  first(substring(d.text, 1, 40) ORDER BY shared DESC, partner) AS with_label
+FROM p JOIN t USING (harness_id, session_id) JOIN documents d ON CAST(d.doc_id AS VARCHAR) = p.partner GROUP BY 1, 2""",
 )
 def family_hint(spark, root):
     stored = lines(spark, root).withColumn("identity_key", F.col("source_event_id"))
@@ -223,7 +225,10 @@ def family_hint(spark, root):
         F.explode(F.split("text", "\n")).alias("line"),
     ).select("harness_id", "session_id", F.when(F.col("line") != "", F.sha2("line", 256)).alias("identity_key"))
     cols = ["harness_id", "session_id", "identity_key"]
-    return G.family_hint(stored.select(*cols).unionByName(passages), stored.select(*cols))
+    labels = read_table(spark, root, "documents").select(
+        F.col("doc_id").cast("string").alias("session_id"), F.substring("text", 1, 40).alias("label")
+    )
+    return G.family_hint(stored.select(*cols).unionByName(passages), stored.select(*cols), labels=labels)
 
 
 @query(

@@ -82,3 +82,24 @@ def test_continuations_hold_families_together(spark):
     held = K.all_holdings(spark.createDataFrame([], HELD), sessions)
     assert sorted(r.session_id for r in held.select("session_id").collect()) == ["ses1", "ses2"]
     assert families(held.withColumn("identity_key", F.col("identity_key"))) == {"ses1": "ses1", "ses2": "ses1"}
+
+
+@pytest.mark.parametrize("hot, packed", [(2, 3), (8, 1000)])
+def test_hint_where_one_session_holds_a_third_of_all_keys(spark, hot, packed):
+    """Hot keys of many sessions and a session with most keys; ties, labels, a candidate of its own keys alone."""
+    rng = random.Random(hot)
+    held = {f"s{i:03}": {f"k{int(rng.paretovariate(0.5)) % 400}" for _ in range(rng.randrange(1, 12))} for i in range(120)}
+    held["s777"] = {f"k{i}" for i in range(300)}
+    cand = {f"c{i}": {f"k{int(rng.paretovariate(0.5)) % 420}" for _ in range(rng.randrange(1, 15))} for i in range(40)}
+    cand |= {"c90": {"k1"}, "c91": {f"k{i}" for i in range(0, 400, 3)}, "c92": {"only mine"}, "s777": held["s777"], "s003": held["s003"]}
+    as_df = lambda d: spark.createDataFrame([(s, "h", k) for s, ks in d.items() for k in ks], "session_id string, harness_id string, identity_key string")
+    labels = spark.createDataFrame([(s, f"label {s}") for s in held if s != "s001"], "session_id string, label string")
+    found = G.family_hint(as_df(cand), as_df(held), hot, labels, packed)
+    got = {r.session_id: (r.with_session, r.shared_events, r.total_events, r.further_sessions, r.with_label) for r in found.collect()}
+    want = {}
+    for c, keys in cand.items():
+        shared = {s: len(keys & ks) for s, ks in held.items() if s != c and keys & ks}
+        if shared:
+            best = min(shared, key=lambda s: (-shared[s], s))
+            want[c] = (best, shared[best], len(keys), len(shared) - 1, f"label {best}" if best != "s001" else None)
+    assert got == want
