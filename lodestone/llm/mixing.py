@@ -88,7 +88,7 @@ def tilts(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
     few = wanted.limit(DRIVER_SOURCES + 1).count() <= DRIVER_SOURCES
 
     def held(df: DataFrame) -> DataFrame:
-        return spark.createDataFrame(df.collect(), df.schema) if few else stage(df, "tilts")
+        return spark.createDataFrame(df.toArrow(), df.schema) if few else stage(df, "tilts")
 
     state = held(state)
     rate = _rate(F.col("tilt"), F.col("size"), F.col("mean"))
