@@ -62,7 +62,7 @@ class Encoder:
     generations bound the cache.
     """
 
-    CACHED = 600_000
+    CACHED = 250_000
     LONGEST = 64
     _cuts = re.compile(r"(?<=\S)(?=[ \n]\S)")
     _plain = re.compile(r"[ \n]\S+")
