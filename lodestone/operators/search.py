@@ -10,13 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.paths import file_matches
 from lodestone.functions.text import bm25, bm25_stats, excerpt, word_rank
-from lodestone.operators.blocks import lookup
+from lodestone.operators.blocks import BLOCK_ROWS, block_of, lookup
 from lodestone.operators.predicates import (
     active_sessions,
     contains_all,
@@ -25,7 +27,6 @@ from lodestone.operators.predicates import (
     split_query,
     touches_file,
 )
-from lodestone.operators.runs import logical_positions
 from lodestone.session import stage
 
 # Result window defaults.
@@ -271,18 +272,55 @@ def limit_through_groups(groups: DataFrame, order: Sequence[Column], limit: int,
     )
 
 
-def context_window(shown: DataFrame, events: DataFrame, n: int) -> DataFrame:
+# Blocks of events that are asked for by value, so that a scan of sorted events skips the others.
+LISTED_BLOCKS = 200
+
+
+def run_counts(events: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(session_id, blk, starts, before): logical events that begin in each block, and in the session's blocks before.
+
+    A small table (one row a block) to keep beside published events: with it a context window reads no others than its own blocks.
+    """
+    begins = F.count_if(F.col("seq") == F.col("run_first_seq"))
+    counts = events.groupBy("session_id", block_of(F.col("seq"), block_rows).alias("blk")).agg(begins.alias("starts"))
+    earlier = Window.partitionBy("session_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("before", F.coalesce(F.sum("starts").over(earlier), F.lit(0)))
+
+
+def context_window(shown: DataFrame, events: DataFrame, n: int, index: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Up to ``n`` logical events on each side of every shown match.
 
-    Rows are (session_id, match_seq, seq); the session is unfiltered, windows clip
-    at its ends and shown matches never repeat as context.
+    Rows are (session_id, match_seq, seq); the session is unfiltered, windows clip at its ends and shown matches never
+    repeat as context. ``index`` (:func:`run_counts` with the same ``block_rows``) says in which blocks the events around a match
+    lie, and only those are read; without it the sessions of the matches are read once to make it.
     """
-    # the shown rows are few; they and the positions are each used twice
     hits = stage(shown.select("session_id", F.col("seq").alias("match_seq")).distinct(), "hits")
-    whole = events.join(hits.select("session_id").distinct(), "session_id", "left_semi")
-    places = stage(logical_positions(whole).select("session_id", "seq", "position"), "places")
-    at = places.join(hits, (places.session_id == hits.session_id) & (places.seq == hits.match_seq)).select(
-        places.session_id, "match_seq", F.explode(F.sequence(F.col("position") - n, F.col("position") + n)).alias("position")
+    slim = events.select("session_id", "seq", "run_first_seq")
+    if index is None:
+        slim = stage(slim.join(hits.select("session_id").distinct(), "session_id", "left_semi"), "hit-sessions")
+        index = run_counts(slim, block_rows)
+    # Where a match stands in its block is not known yet: all that may be within n of any place of the block is wanted.
+    own = index.join(hits.withColumn("blk", block_of(F.col("match_seq"), block_rows)), ["session_id", "blk"])
+    spans = own.select("session_id", (F.col("before") - n).alias("low"), (F.col("before") + F.col("starts") + n).alias("high")).distinct()
+    near = index.join(spans, "session_id").filter((F.col("starts") > 0) & (F.col("before") < F.col("high")) & (F.col("before") + F.col("starts") > F.col("low")))
+    near = stage(near.select("session_id", "blk", "before").distinct(), "near-blocks")
+    listed = sorted((r.session_id, r.blk) for r in near.limit(LISTED_BLOCKS + 1).collect())
+    if len(listed) <= LISTED_BLOCKS:
+        # One range for neighbouring blocks, on the columns events are sorted by.
+        ranges: list[list] = []
+        for session, blk in listed:
+            if ranges and ranges[-1][0] == session and ranges[-1][2] == blk - 1:
+                ranges[-1][2] = blk
+            else:
+                ranges.append([session, blk, blk])
+        inside = [(F.col("session_id") == s) & F.col("seq").between(a * block_rows + 1, (b + 1) * block_rows) for s, a, b in ranges]
+        slim = slim.filter(reduce(or_, inside, F.lit(False)))
+    starts = slim.filter(F.col("seq") == F.col("run_first_seq")).withColumn("blk", block_of(F.col("seq"), block_rows))
+    within = Window.partitionBy("session_id", "blk").orderBy("seq")
+    placed = starts.join(near, ["session_id", "blk"]).select("session_id", "seq", (F.row_number().over(within) + F.col("before")).alias("position"))
+    places = stage(placed, "places")
+    at = places.join(hits.withColumnRenamed("match_seq", "seq"), ["session_id", "seq"]).select(
+        "session_id", F.col("seq").alias("match_seq"), F.explode(F.sequence(F.col("position") - n, F.col("position") + n)).alias("position")
     )
     around = places.join(at, ["session_id", "position"])
     return around.join(

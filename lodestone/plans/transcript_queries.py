@@ -32,7 +32,7 @@ from lodestone.sources.projection import (
     write_projection,
 )
 from lodestone.sources.tables import iso_micros, read_table
-from lodestone.streaming.events import latest_to_table, stream_dedup_copies, stream_monotonic_latest, to_table
+from lodestone.streaming.events import latest_to_table, stream_age_alerts, stream_dedup_copies, stream_monotonic_latest, to_table
 from lodestone.streaming.runs import late_rows, runs_so_far, stream_adjacent_runs
 from lodestone.streaming.upsert import current, ingest_transcripts, stream_upsert, transcripts
 
@@ -619,6 +619,22 @@ def stream_monotonic_latest_query(spark, root):
     return spark.read.parquet(f"{out}/t").select("session_id", "event_id", "event_type")
 
 
+@query(
+    "stream_age_alerts",
+    """WITH e AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS session_id, ts, max(ts) OVER () AS top FROM events),
+n AS (SELECT *, lead(ts) OVER (PARTITION BY session_id ORDER BY ts) AS next_ts FROM e)
+SELECT session_id, epoch_us(ts) AS since_us FROM n
+WHERE next_ts > ts + INTERVAL 36 HOUR OR (next_ts IS NULL AND epoch_us(ts) // 1000 + 36 * 3600000 < epoch_us(top) // 1000 - 3600000)""",
+)
+def stream_age_alerts_query(spark, root):
+    """Users of whom nothing comes for 36 hours, found while the log arrives in four parts."""
+    cols = [F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("ts")]
+    src, out = event_parts(spark, root, cols), fresh_path(spark, "alerts")
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", PART_FILES).parquet(src)
+    to_table(stream_age_alerts(stream, "session_id", "ts", 36 * 3600 * 1000, "1 hour"), f"{out}/t", f"{out}/c").awaitTermination()
+    return spark.read.parquet(f"{out}/t").select(F.col("key").alias("session_id"), F.unix_micros("since").alias("since_us"))
+
+
 @query(
     "stream_upsert",
     """WITH b AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id, date_trunc('month', ts) AS version FROM events)

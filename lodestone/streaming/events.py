@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.operators.intake import withheld
 
@@ -48,3 +50,45 @@ def latest_to_table(aggregate: DataFrame, path: str, checkpoint: str) -> Streami
 def withheld_age_alerts(evaluations: DataFrame, now: Column) -> DataFrame:
     """The withheld advisory, only where it warns; batch, or a complete-mode stream."""
     return withheld(evaluations, now).filter("retention_warning")
+
+
+def stream_age_alerts(stream: DataFrame, key: str, event_time: str, age_ms: int, delay: str = COPY_DELAY) -> DataFrame:
+    """(key, since, due): an alert for every report of a key that no newer report follows within ``age_ms``.
+
+    State is the newest report of each key, with a timer at the end of its age. The timer fires once the
+    watermark (the newest time seen less ``delay``) has passed it; a batch that holds a key's next reports
+    decides itself whether the age passed between them. Either way an alert comes once for a report, however the reports are dealt to batches.
+    Reports that arrive behind their key's newest one change nothing; reports without key or time are left out. A key's reports
+    come to one task as a stream of small batches, in order, so a key with most of the rows takes time there but no memory.
+    """
+    kind = stream.schema[key].dataType.simpleString()
+    named = stream.select(F.col(key).alias("key"), F.col(event_time).cast("timestamp").alias("at"))
+    timed = named.filter(F.col("key").isNotNull() & F.col("at").isNotNull()).withWatermark("at", delay)
+
+    def follow(group: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        newest = state.get[0] if state.exists else None
+        alerts: list[int] = []
+        if state.hasTimedOut:
+            alerts.append(newest)
+            # The report stays as the newest one, with its alert given.
+            state.update((newest, True))
+        else:
+            alerted = bool(state.exists and state.get[1])
+            for batch in rows:
+                for at in sorted(batch["at"].astype("datetime64[us]").astype("int64").tolist()):
+                    if newest is not None and at <= newest:
+                        continue
+                    if newest is not None and not alerted and at > newest + age_ms * 1000:
+                        alerts.append(newest)
+                    newest, alerted = at, False
+            state.update((newest, alerted))
+            if not alerted:
+                # A timer may not lie behind the watermark; one that would is due with the next batch.
+                state.setTimeoutTimestamp(max(newest // 1000 + age_ms, state.getCurrentWatermarkMs() + 1))
+        if alerts:
+            since = pd.to_datetime(pd.Series(alerts), unit="us")
+            yield pd.DataFrame({"key": [group[0]] * len(alerts), "since": since, "due": since + pd.Timedelta(milliseconds=age_ms)})
+
+    return timed.groupBy("key").applyInPandasWithState(
+        follow, f"key {kind}, since timestamp, due timestamp", "newest long, alerted boolean", "append", GroupStateTimeout.EventTimeTimeout
+    )

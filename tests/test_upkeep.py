@@ -103,3 +103,56 @@ def test_hint_where_one_session_holds_a_third_of_all_keys(spark, hot, packed):
             best = min(shared, key=lambda s: (-shared[s], s))
             want[c] = (best, shared[best], len(keys), len(shared) - 1, f"label {best}" if best != "s001" else None)
     assert got == want
+
+
+def test_context_reads_the_blocks_around_matches(spark, tmp_path):
+    """Windows of every size equal those over all positions, and published events are read by block."""
+    from lodestone.operators.search import context_window, run_counts
+
+    rng = random.Random(4)
+    events, starts = [], {}
+    for s in range(6):
+        seq, firsts = 1, []
+        while seq <= (900 if s == 0 else 130):
+            length = rng.choice([1, 1, 2, 3, 25])
+            events += [(f"s{s}", q, seq) for q in range(seq, seq + length)]
+            firsts.append(seq)
+            seq += length
+        starts[f"s{s}"] = firsts
+    shown = [(s, q) for s in ("s0", "s1", "s5") for q in rng.sample(starts[s], 4)]
+    schema = "session_id string, seq long, run_first_seq long"
+    spark.createDataFrame(events, schema).repartitionByRange(8, "session_id", "seq").sortWithinPartitions("session_id", "seq").write.option(
+        "parquet.block.size", 4096
+    ).parquet(str(tmp_path / "events"))
+    table = spark.read.parquet(str(tmp_path / "events"))
+    hits = spark.createDataFrame(shown, "session_id string, seq long")
+    for n, block in ((0, 16), (2, 16), (9, 16), (3, 10_000)):
+        want = set()
+        for s, q in shown:
+            at = starts[s].index(q)
+            want |= {(s, q, x) for x in starts[s][max(0, at - n) : at + n + 1] if (s, x) not in shown}
+        for index in (None, run_counts(table, block)):
+            got = context_window(hits, table, n, index, block)
+            assert {tuple(r) for r in got.select("session_id", "match_seq", "seq").collect()} == want
+
+
+def test_context_pushes_its_blocks_to_the_scan(spark, tmp_path, monkeypatch):
+    from lodestone.operators import search
+
+    rows = [(f"s{s}", q, q) for s in range(20) for q in range(1, 200)]
+    spark.createDataFrame(rows, "session_id string, seq long, run_first_seq long").coalesce(1).sortWithinPartitions("session_id", "seq").write.parquet(str(tmp_path / "e"))
+    table, plans, stage = spark.read.parquet(str(tmp_path / "e")), {}, search.stage
+
+    def watched(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stage(df, name)
+
+    monkeypatch.setattr(search, "stage", watched)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    index = search.run_counts(table, 16)
+    found = search.context_window(spark.createDataFrame([("s3", 40)], "session_id string, seq long"), table, 2, index, 16)
+    assert sorted(r.seq for r in found.collect()) == [38, 39, 41, 42]
+    scan = next(line for line in plans["places"].split("\n") if "PushedFilters" in line)
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = scan[scan.index("PushedFilters") :]
+    assert "EqualTo(session_id,s3)" in pushed and "GreaterThanOrEqual(seq,17)" in pushed and "LessThanOrEqual(seq,64)" in pushed
