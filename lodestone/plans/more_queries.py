@@ -136,13 +136,23 @@ def bundle_sizes(spark, root):
     return I.bundle_sizes(d.select(F.col("source").alias("session_id"), F.octet_length("text").cast("long").alias("size")))
 
 
-@query(
-    "fingerprint_sizes",
-    """SELECT CAST(conv_id AS VARCHAR) AS conv, CAST(turn // 64 AS VARCHAR) AS section, CAST(sum(2 * strlen(text) + 1) AS BIGINT) AS size,
-  sha256(string_agg(hex(text) || chr(10), '' ORDER BY turn)) AS sha256 FROM conversations GROUP BY 1, 2""",
-)
+_FILES_SQL = """SELECT CAST(conv_id AS VARCHAR) AS conv, CAST(turn // 64 AS VARCHAR) AS section, CAST(sum(2 * strlen(text) + 1) AS BIGINT) AS size,
+  sha256(string_agg(hex(text) || chr(10), '' ORDER BY turn)) AS sha256 FROM conversations GROUP BY 1, 2"""
+
+
+@query("fingerprint_sizes", _FILES_SQL)
 def fingerprint_sizes(spark, root):
     """Whole turns written as files, a line each and a file for every 64 turns, then fingerprinted."""
+    return _fingerprints(spark, root)
+
+
+@query("fingerprint_ranges", _FILES_SQL)
+def fingerprint_ranges(spark, root):
+    """The same files through running digests, as files of any size are."""
+    return _fingerprints(spark, root, whole_bytes=0)
+
+
+def _fingerprints(spark, root, **bounds):
     out = fresh_path(spark, "files")
     c = read_table(spark, root, "conversations").select(
         F.col("conv_id").cast("string").alias("conv"), F.floor(F.col("turn") / 64).cast("string").alias("section"), "turn",
@@ -151,7 +161,7 @@ def fingerprint_sizes(spark, root):
     placed = c.repartitionByRange("conv", "section").sortWithinPartitions("conv", "section", "turn")
     placed.select("conv", "section", "value").write.partitionBy("conv", "section").text(out)
     part = lambda i: F.regexp_extract("file", "conv=([^/]+)/section=([^/]+)/", i)
-    return fingerprint_files(spark, out, "*.txt").select(part(1).alias("conv"), part(2).alias("section"), "size", "sha256")
+    return fingerprint_files(spark, out, "*.txt", **bounds).select(part(1).alias("conv"), part(2).alias("section"), "size", "sha256")
 
 
 @query(

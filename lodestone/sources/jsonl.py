@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,10 @@ from lodestone.functions.json import bracketed, json_object
 from lodestone.functions.text import SPACE
 
 
+# Files up to so many bytes are digested as one value; the format holds 2 GB.
+WHOLE_FILE_BYTES = 1 << 30
+
+
 def plain_path(uri: Column) -> Column:
     """A file path without scheme and percent escapes."""
     return F.regexp_replace(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), "^[a-z0-9]+:/+", "/")
@@ -77,16 +83,69 @@ def event_seq(lines: DataFrame, order: Sequence[str]) -> DataFrame:
     )
 
 
-def fingerprint_files(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None) -> DataFrame:
-    """(file, size, sha256) of whole files; a file must fit the 2 GB of a binary value."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob is not None:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(paths if isinstance(paths, str) else list(paths)).select(
-        plain_path(F.col("path")).alias("file"),
-        F.length("content").cast("long").alias("size"),
-        F.sha2("content", 256).alias("sha256"),
+def fingerprint_files(
+    spark: SparkSession, paths: str | Sequence[str], glob: str | None = None, whole_bytes: int = WHOLE_FILE_BYTES
+) -> DataFrame:
+    """(file, size, sha256) of files of any size; empty files are not listed, since no reader brings them.
+
+    Files up to ``whole_bytes`` are one binary value each, digested where they are read. Larger ones are read in splits,
+    dealt by file and ordered, and pass through one running digest a file, a batch at a time.
+    """
+    paths = paths if isinstance(paths, str) else list(paths)
+    # A file of no more than a byte order mark has no lines to go by.
+    whole_bytes = max(whole_bytes, len(_MARK))
+
+    def reader(kind: str):
+        out = spark.read.format(kind).option("recursiveFileLookup", "true")
+        return out if glob is None else out.option("pathGlobFilter", glob)
+
+    small = reader("binaryFile").load(paths).filter(F.col("length") <= whole_bytes)
+    small = small.select(plain_path(F.col("path")).alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    split = reader("text").option("lineSep", "\n").load(paths).filter(F.col("_metadata.file_size") > whole_bytes)
+    ranges = split.select(
+        plain_path(F.col("_metadata.file_path")).alias("file"),
+        F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"),
+        F.col("value").cast("binary").alias("raw"),
     )
+    dealt = ranges.repartition("file").sortWithinPartitions("file", "block", "place").drop("block", "place")
+    return small.unionByName(dealt.mapInArrow(_running_digests, "file string, size long, sha256 string"))
+
+
+_MARK = b"\xef\xbb\xbf"
+
+
+def _running_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of files whose lines come in order. Their bytes are the lines with a line break between them.
+
+    What the reader leaves out, a break at the end and a byte order mark at the start, shows in the file's size; two digests run,
+    with the mark and without. Any other size means that lines are not the file's bytes, as in a compressed file.
+    """
+    file, size, seen, digests = None, 0, 0, ()
+
+    def finished() -> pa.RecordBatch:
+        marked, ended = divmod(size - seen, len(_MARK))
+        if marked not in (0, 1) or ended not in (0, 1):
+            raise ValueError(f"{file} has {size} bytes, its lines {seen}: it cannot be digested by lines")
+        digests[marked].update(b"\n" * ended)
+        columns = [pa.array([file]), pa.array([size], pa.int64()), pa.array([digests[marked].hexdigest()])]
+        return pa.RecordBatch.from_arrays(columns, names=["file", "size", "sha256"])
+
+    for batch in batches:
+        for name, length, raw in zip(*(batch.column(i) for i in range(3)), strict=True):
+            if name.as_py() != file:
+                if file is not None:
+                    yield finished()
+                file, size, seen, digests = name.as_py(), length.as_py(), -1, (hashlib.sha256(), hashlib.sha256(_MARK))
+            line = raw.as_buffer()
+            for d in digests:
+                if seen >= 0:
+                    d.update(b"\n")
+                d.update(line)
+            seen += len(line) + 1
+    if file is not None:
+        yield finished()
 
 
 def revisions(files: DataFrame) -> DataFrame:
