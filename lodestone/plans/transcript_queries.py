@@ -16,6 +16,7 @@ from lodestone.operators import refresh as U
 from lodestone.operators import search as S
 from lodestone.operators import sessions as N
 from lodestone.operators.blocks import block_of
+from lodestone.operators.canonical import canonical_documents
 from lodestone.operators.runs import adjacent_runs
 from lodestone.plans.family_queries import _FAMILIES, copies, doc_sessions, lines
 from lodestone.plans.registry import LINES_SQL, LOG_RUNS_SQL, LOG_SQL, TURNS_SQL, query
@@ -346,6 +347,22 @@ def path_parts(spark, root):
     return p.select("page_id", H.basename(u).alias("base"), F.size(H.path_suffixes(u)).cast("long").alias("suffixes"), H.short_id(u).alias("short"))
 
 
+@query(
+    "canonical_documents",
+    """SELECT c_custkey, '{' || chr(10) || '  "schemaVersion": 1,' || chr(10) || '  "store": {' || chr(10)
+  || '    "a": [' || chr(10) || '      ' || c_nationkey || ',' || chr(10) || '      {' || chr(10) || '        "b": null,' || chr(10)
+  || '        "z": []' || chr(10) || '      }' || chr(10) || '    ],' || chr(10) || '    "segment": "' || c_mktsegment || '"' || chr(10) || '  },' || chr(10)
+  || '  "B": {},' || chr(10) || '  "name": "' || c_name || '"' || chr(10) || '}' || chr(10) AS canonical FROM customer""",
+)
+def canonical_documents_query(spark, root):
+    """Customers as nested documents whose keys stand in another order."""
+    c = read_table(spark, root, "customer")
+    nested = F.format_string(
+        '{"name":"%s", "B":{}, "store":{"segment":"%s","a":[%d,{"z":[],"b":null}]}, "schemaVersion":1}', "c_name", "c_mktsegment", "c_nationkey"
+    )
+    return canonical_documents(c.select("c_custkey", nested.alias("raw")), "raw", ["schemaVersion", "projectId", "store"]).select("c_custkey", "canonical")
+
+
 @query(
     "canonical_json",
     """SELECT o_orderkey, '{"status":"' || o_orderstatus || '","cust":"' || o_custkey || '","priority":"' || o_orderpriority || '"}' AS doc FROM orders""",
