@@ -33,7 +33,15 @@ from lodestone.sources.projection import (
     write_projection,
 )
 from lodestone.sources.tables import iso_micros, read_table
-from lodestone.streaming.events import latest_to_table, stream_age_alerts, stream_dedup_copies, stream_monotonic_latest, to_table
+from lodestone.streaming.events import (
+    compact_log,
+    latest_of,
+    latest_to_log,
+    stream_age_alerts,
+    stream_dedup_copies,
+    stream_monotonic_latest,
+    to_table,
+)
 from lodestone.streaming.runs import late_rows, runs_so_far, stream_adjacent_runs
 from lodestone.streaming.upsert import current, ingest_transcripts, stream_upsert, transcripts
 
@@ -632,8 +640,10 @@ def stream_monotonic_latest_query(spark, root):
     cols = [F.col("user_id").cast("string").alias("session_id"), "ts", "event_id", "event_type"]
     src, out = event_parts(spark, root, cols), fresh_path(spark, "latest")
     stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", PART_FILES).parquet(src)
-    latest_to_table(stream_monotonic_latest(stream, ["session_id"], ["ts", "event_id"]), f"{out}/t", f"{out}/c").awaitTermination()
-    return spark.read.parquet(f"{out}/t").select("session_id", "event_id", "event_type")
+    key, order = ["session_id"], ["ts", "event_id"]
+    latest_to_log(stream_monotonic_latest(stream, key, order), f"{out}/t", f"{out}/c").awaitTermination()
+    compact_log(spark, f"{out}/t", key, order)
+    return latest_of(spark, f"{out}/t", key, order).select("session_id", "event_id", "event_type")
 
 
 @query(

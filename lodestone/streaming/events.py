@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.operators.intake import withheld
+from lodestone.streaming.versions import complete
 
 # How long a copy may lag behind the first delivery; a choice of this library.
 COPY_DELAY = "1 day"
@@ -38,15 +39,35 @@ def to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def latest_to_table(aggregate: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep a running aggregate as a table; each batch replaces it whole."""
+def latest_to_log(aggregate: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep a running aggregate as a log of changes: each batch writes the keys that it moved, and no others.
+
+    A retried batch writes its own folder again. What a failed batch left is not marked complete and is not read.
+    """
     return (
-        aggregate.writeStream.outputMode("complete")
-        .foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(path))
+        aggregate.writeStream.outputMode("update")
+        .foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{path}/v={i}"))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
+def latest_of(spark: SparkSession, path: str, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The newest row of every key in a log of changes: the newest compacted table, and the batches after it."""
+    bases, batches = complete(spark, path, "base"), complete(spark, path)
+    base = bases[-1] if bases else -1
+    folders = [f"{path}/base={base}"] * bool(bases) + [f"{path}/v={v}" for v in batches if v > base]
+    rows = spark.read.parquet(*folders)
+    rest = [c for c in rows.columns if c not in key and c not in order]
+    return rows.groupBy(*key).agg(F.max(F.struct(*order, *rest)).alias("m")).select(*key, "m.*")
+
+
+def compact_log(spark: SparkSession, path: str, key: Sequence[str], order: Sequence[str]) -> None:
+    """Fold a log's complete batches into a table of one row a key; readers go on with the old one until it is complete."""
+    batches, bases = complete(spark, path), complete(spark, path, "base")
+    if batches and (not bases or bases[-1] < batches[-1]):
+        latest_of(spark, path, key, order).write.mode("overwrite").parquet(f"{path}/base={batches[-1]}")
+
+
 def withheld_age_alerts(evaluations: DataFrame, now: Column) -> DataFrame:
     """The withheld advisory, only where it warns; batch, or a complete-mode stream."""
     return withheld(evaluations, now).filter("retention_warning")

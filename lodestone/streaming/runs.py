@@ -15,25 +15,13 @@ from pyspark.sql.streaming import StreamingQuery
 from lodestone.operators.blocks import dense_seq
 from lodestone.operators.runs import adjacent_runs
 from lodestone.session import stage
+from lodestone.streaming.versions import complete
 
 TAIL = "session_id string, last_seq long, open_first long, kind string, role string, text string, last_ts timestamp, last_id long"
 
 
-def _versions(spark: SparkSession, folder: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    return sorted(
-        int(s.getPath().getName()[2:])
-        for s in fs.listStatus(path)
-        if s.getPath().getName().startswith("v=")
-        and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-    )
-
-
 def _tails(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
-    held = [v for v in _versions(spark, f"{root}/tails") if before is None or v < before]
+    held = [v for v in complete(spark, f"{root}/tails") if before is None or v < before]
     if not held:
         return spark.createDataFrame([], TAIL)
     return spark.read.schema(TAIL).parquet(f"{root}/tails/v={held[-1]}")
@@ -99,7 +87,7 @@ def stream_adjacent_runs(stream: DataFrame, root: str) -> StreamingQuery:
 
 def runs_so_far(spark: SparkSession, root: str) -> DataFrame:
     """Ended runs and the open one of each session."""
-    done = _versions(spark, f"{root}/closed")
+    done = complete(spark, f"{root}/closed")
     schema = "session_id string, run_first_seq long, run_last_seq long, kind string, text string"
     closed = spark.read.schema(schema).parquet(*[f"{root}/closed/v={v}" for v in done]) if done else spark.createDataFrame([], schema)
     opened = _tails(spark, root).select("session_id", F.col("open_first").alias("run_first_seq"), F.col("last_seq").alias("run_last_seq"), "kind", "text")
@@ -107,4 +95,4 @@ def runs_so_far(spark: SparkSession, root: str) -> DataFrame:
 
 
 def late_rows(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(*[f"{root}/late/v={v}" for v in _versions(spark, f"{root}/late")])
+    return spark.read.parquet(*[f"{root}/late/v={v}" for v in complete(spark, f"{root}/late")])

@@ -51,3 +51,42 @@ def test_late_repeated_and_nameless_reports(spark, tmp_path):
         ],
     )
     assert [(k, s) for k, s, _ in got] == [("a", at(0)), ("a", at(20)), ("a", at(42)), ("z", at(45))]
+
+
+LATEST = "key string, ts timestamp, n long, note string"
+
+
+def test_latest_rows_as_a_log_of_changes(spark, tmp_path):
+    """A batch writes the keys it moved; a batch that fails leaves the table as it was; compaction changes nothing but folders."""
+    from pyspark.sql import functions as F
+
+    from lodestone.streaming import events as E
+
+    folder, key, order = str(tmp_path), ["key"], ["ts", "n"]
+
+    def arrive(rows, fail=False):
+        spark.createDataFrame(rows, LATEST).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(LATEST).parquet(f"{folder}/in")
+        newest = E.stream_monotonic_latest(stream, key, order)
+        if fail:
+            newest = newest.withColumn("note", F.when(F.col("key") == "b", F.raise_error(F.lit("stopped"))).otherwise(F.col("note")))
+        E.latest_to_log(newest, f"{folder}/log", f"{folder}/check").awaitTermination()
+
+    def now():
+        return {r.key: (r.ts, r.n, r.note) for r in E.latest_of(spark, f"{folder}/log", key, order).collect()}
+
+    arrive([("a", at(1), 1, "x"), ("b", at(1), 1, "x"), ("c", at(5), 1, "x"), ("c", at(5), 2, "tie")])
+    arrive([("a", at(3), 1, "y"), ("b", at(0), 9, "older")])
+    first = {"a": (at(3), 1, "y"), "b": (at(1), 1, "x"), "c": (at(5), 2, "tie")}
+    assert now() == first
+    moved = {r.key for r in spark.read.parquet(f"{folder}/log/v=1").collect()}
+    assert "c" not in moved and "a" in moved
+    with pytest.raises(Exception, match="stopped"):
+        arrive([("b", at(7), 1, "new"), ("a", at(8), 1, "z")], fail=True)
+    assert now() == first
+    E.compact_log(spark, f"{folder}/log", key, order)
+    assert now() == first
+    arrive([("d", at(1), 1, "w")])
+    assert now() == first | {"b": (at(7), 1, "new"), "a": (at(8), 1, "z"), "d": (at(1), 1, "w")}
+    E.compact_log(spark, f"{folder}/log", key, order)
+    assert len(now()) == 4
