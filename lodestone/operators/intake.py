@@ -102,24 +102,46 @@ def adopt_decisions(
     return target.unionByName(moved.join(target.select("candidate_id"), "candidate_id", "left_anti").select(*target.columns))
 
 
-def accept_revisions(candidates: DataFrame, store: DataFrame, conflicted: DataFrame) -> DataFrame:
+def accept_revisions(
+    candidates: DataFrame,
+    store: DataFrame,
+    conflicted: DataFrame,
+    only: DataFrame | None = None,
+    readmit: bool = False,
+    errors: DataFrame | None = None,
+) -> DataFrame:
     """Import outcome of classified candidates.
 
     ``candidates`` is (candidate_id, class, digest, flagged, override); ``store``
     (session_id, digest). The stored digest is unchanged even where flagged;
-    flagged bytes need an override.
+    flagged bytes need an override. ``only`` (candidate_id) narrows the run to
+    the candidates named; such a run, and no other, may ``readmit`` tombstoned
+    ones, which a session frozen in a conflict does not hold back. ``errors``
+    (candidate_id, message) are sources that could not be read: what would have
+    been compared with the store is an ``error`` instead.
     """
+    if only is not None:
+        candidates = candidates.join(only.select("candidate_id").distinct(), "candidate_id", "left_semi")
+    elif readmit:
+        raise ValueError("only a run narrowed to named candidates readmits tombstoned ones")
     held = store.select(F.col("session_id").alias("candidate_id"), F.col("digest").alias("stored_digest"))
     frozen = conflicted.select(F.col("session_id").alias("candidate_id"), F.lit(True).alias("_c")).distinct()
     joined = candidates.join(held, "candidate_id", "left").join(frozen, "candidate_id", "left")
+    if errors is None:
+        joined = joined.withColumn("_e", F.lit(None).cast("boolean"))
+    else:
+        failed = errors.select("candidate_id", F.lit(True).alias("_e")).distinct()
+        joined = joined.join(failed, "candidate_id", "left")
+    skipped = ["ignored", "out_of_scope", "pending"] + ([] if readmit else ["tombstoned"])
     outcome = (
-        F.when(F.col("class").isin("ignored", "tombstoned", "out_of_scope", "pending"), F.col("class"))
-        .when(F.col("_c"), F.lit("conflicted"))
+        F.when(F.col("class").isin(*skipped), F.col("class"))
+        .when((F.col("class") == "associated") & F.col("_c"), F.lit("conflicted"))
+        .when(F.col("_e"), F.lit("error"))
         .when(F.col("stored_digest").eqNullSafe(F.col("digest")), F.lit("unchanged"))
         .when(F.col("flagged") & ~F.col("override"), F.lit("flagged"))
         .otherwise(F.lit("accepted"))
     )
-    return joined.withColumn("outcome", outcome).drop("_c")
+    return joined.withColumn("outcome", outcome).drop("_c", "_e")
 
 
 def accepted_store(store: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -130,8 +152,13 @@ def accepted_store(store: DataFrame, outcomes: DataFrame) -> DataFrame:
     return store.select("session_id", "digest").join(fresh, "session_id", "left_anti").unionByName(fresh)
 
 
-def import_report(outcomes: DataFrame) -> DataFrame:
-    return outcomes.groupBy("outcome").agg(F.count("*").alias("candidates"))
+def import_report(outcomes: DataFrame, evaluations: DataFrame | None = None) -> DataFrame:
+    """Candidates by outcome; the losses among ``evaluations`` (of :func:`evaluation_state`) count as ``pruned_withheld``."""
+    report = outcomes.groupBy("outcome").agg(F.count("*").alias("candidates"))
+    if evaluations is None:
+        return report
+    lost = evaluations.filter("action = 'lost'").agg(F.count("*").alias("candidates"))
+    return report.unionByName(lost.filter("candidates > 0").select(F.lit("pruned_withheld").alias("outcome"), "candidates"))
 
 
 # ---- listings ----
@@ -297,3 +324,24 @@ def project_inventory(bindings: DataFrame, sessions: DataFrame) -> DataFrame:
         F.when(F.col("roots") > 0, F.lit("capturing")).otherwise(F.lit("history_only")).alias("capture_state"),
         F.coalesce("sessions", F.lit(0)).alias("sessions"),
     )
+
+
+def bound_paths(bindings: DataFrame, owned: DataFrame) -> DataFrame:
+    """Every bound path of every project, a root or an alias, with the sessions it owns.
+
+    ``bindings`` is (project_id, path, is_root), ``owned`` has the ``owner`` and
+    ``owner_root`` that :func:`longest_prefix_owner` gives, one row a session.
+    """
+    held = owned.filter("owner is not null").groupBy("owner", "owner_root").agg(F.count("*").alias("sessions"))
+    held = held.select(F.col("owner").alias("project_id"), F.col("owner_root").alias("path"), "sessions")
+    root = F.when(F.length("path") > 1, F.rtrim(F.col("path"), F.lit("/"))).otherwise(F.col("path"))
+    # A path bound both ways is a root.
+    every = bindings.groupBy("project_id", root.alias("path")).agg(F.max("is_root").alias("is_root"))
+    capturing = bindings.groupBy("project_id").agg(F.max("is_root").alias("capturing"))
+    return lookup(every.join(held, ["project_id", "path"], "left"), capturing, ["project_id"], "inner").select(
+        "project_id",
+        "path",
+        F.when(F.col("is_root"), F.lit("root")).otherwise(F.lit("alias")).alias("bound_as"),
+        F.when(F.col("capturing"), F.lit("capturing")).otherwise(F.lit("history_only")).alias("capture_state"),
+        F.coalesce("sessions", F.lit(0)).alias("sessions"),
+    )

@@ -263,11 +263,24 @@ def adopt_units(source: DataFrame, target: DataFrame, target_ledger: DataFrame)
     return joined.select("session_id", outcome.alias("outcome"))
 
 
-def adopt_ledger(source: DataFrame, target: DataFrame, live_in_target: DataFrame) -> DataFrame:
-    """Target ledger with the source's unknown events of sessions not live there, in new epochs."""
+def adopt_ledger(
+    source: DataFrame, target: DataFrame, live_in_target: DataFrame, marker: Column | int = 0
+) -> DataFrame:
+    """Target ledger with the source's unknown events of sessions not live there, in new epochs.
+
+    New epochs follow the target's last one and its store's ``marker``, whichever is larger.
+    """
     incoming = tombstones(events_beyond(source, target), live_in_target).select(*LEDGER_KEY)
     top = target.agg(F.coalesce(F.max("epoch"), F.lit(0)).alias("m"))
-    return merge_ledger(target, renumbered(incoming, top.scalar()).select(*LEDGER_KEY))
+    after = F.greatest(top.scalar(), F.lit(marker).cast("long"))
+    return merge_ledger(target, renumbered(incoming, after).select(*LEDGER_KEY))
+
+
+def advanced_marker(before: DataFrame, after: DataFrame, marker: Column | int = 0) -> DataFrame:
+    """The store's marker once its ledger went from ``before`` to ``after``: the largest epoch handed out, or as it was."""
+    fresh = events_beyond(after, before).agg(F.max("epoch").alias("m"))
+    was = F.lit(marker).cast("long")
+    return fresh.select(F.greatest(was, F.coalesce("m", was)).alias("marker"))
 
 
 # ---- monotone latest ----

@@ -229,26 +229,6 @@ def archive_states(sessions: DataFrame, markers: DataFrame) -> DataFrame:
     ).drop("_state")
 
 
-def session_detail(sessions: DataFrame, events: DataFrame, session_id: str, parent: str = "subagent_parent") -> DataFrame:
-    """One session with its event kinds, touch counts, number of children and the first of them."""
-    mine = events.filter(F.col("session_id") == session_id)
-    kinds = kind_count_map(mine)
-    touches = touch_counts(mine)
-    children = (
-        spawned_sessions(sessions, parent)
-        .filter(F.col("session_id") == session_id)
-        .groupBy("session_id")
-        .agg(F.count("*").alias("children"), F.min("child_session").alias("first_child"))
-    )
-    return (
-        sessions.filter(F.col("session_id") == session_id)
-        .join(kinds, "session_id", "left")
-        .join(touches, "session_id", "left")
-        .join(children, "session_id", "left")
-        .withColumn("children", F.coalesce("children", F.lit(0)))
-    )
-
-
 def expect_sessions(sessions: DataFrame, expected: DataFrame | int) -> DataFrame:
     """``sessions`` unchanged, failing the job unless their number is the expected one."""
     want = F.lit(expected) if isinstance(expected, int) else expected.agg(F.count("*")).scalar()

@@ -9,6 +9,7 @@ from lodestone.functions import paths as H
 from lodestone.functions import text as X
 from lodestone.functions.json import canonical_json, sparse_json
 from lodestone.functions.secrets import session_label_text
+from lodestone.operators import details as D
 from lodestone.operators import evaluate as E
 from lodestone.operators import families as G
 from lodestone.operators import layout as L
@@ -506,7 +507,13 @@ def session_detail(spark, root):
     sessions = log_sessions(spark, root).withColumn("subagent_parent", F.lit(None).cast("string")).withColumn(
         "source_session_id", F.col("session_id")
     )
-    detail = N.session_detail(sessions, log_runs(spark, root), "7")
+    events, none = log_runs(spark, root), F.lit(None).cast("string")
+    files = read_table(spark, root, "pages").select(
+        F.col("page_id").cast("string").alias("session_id"), F.col("url").alias("path"),
+        F.octet_length("html").cast("long").alias("size"), none.alias("media_type"), F.sha2("html", 256).alias("sha256"),
+    )
+    families = sessions.select("session_id", "harness_id").filter("false").withColumnRenamed("harness_id", "family_key")
+    detail = D.session_detail(sessions.withColumn("archive_state", F.lit("active")), events, files, families, "7").head
     kinds = F.transform(F.map_entries("kinds"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
     return detail.select("session_id", "event_count", F.array_join(kinds, ",").alias("kinds"))
 
