@@ -89,15 +89,26 @@ def counted(turns: DataFrame, tokenizer: str | None) -> DataFrame:
     return turns.withColumn("tokens", tokens("text"))
 
 
-def _spans(tokens: list[int], budget: int) -> list[tuple[int, int]]:
-    """Runs of turns of at most ``budget`` tokens each, from prefix sums; a turn above it stands alone."""
-    sums = np.concatenate([[0], np.cumsum(tokens)])
-    out, at = [], 0
-    while at < len(tokens):
-        end = max(at + 1, int(np.searchsorted(sums, sums[at] + budget, side="right")) - 1)
-        out.append((at, end))
+def _spans(rows: Sequence[dict], skip: int, budget: int, history: tuple[int, int], system: dict | None) -> Iterator[tuple[int, int, int]]:
+    """``(held, first, end)`` of each window over ``rows[skip:]``: the new turns are ``first`` up to ``end``, ``held`` up to ``first`` come again.
+
+    The system turn is paid first where it comes before the first new turn, then that turn, then the history, and prefix
+    sums of tokens tell how far the new turns go with the rest. The history ends before the system turn.
+    """
+    sums = np.concatenate([[0], np.cumsum([r["tokens"] for r in rows])])
+    at = skip
+    while at < len(rows):
+        before = system is not None and system["seq"] < rows[at]["seq"]
+        room = budget - (system["tokens"] if before else 0)
+        spare = min(history[1], room - rows[at]["tokens"])
+        held = at
+        while held > 0 and at - held < history[0] and sums[at] - sums[held - 1] <= spare:
+            if before and rows[held - 1]["seq"] <= system["seq"]:
+                break
+            held -= 1
+        end = max(at + 1, int(np.searchsorted(sums, sums[held] + room, side="right")) - 1)
+        yield held, at, end
         at = end
-    return out
 
 
 def chat_windows(
@@ -111,8 +122,10 @@ def chat_windows(
 ) -> DataFrame:
     """Formatted windows of ``conversations`` (conv_id, turn, role, text), as :data:`WINDOWS`.
 
-    The budget is for the new turns of a window; the system turn and at most ``history_turns`` turns of at most
-    ``history_tokens`` come on top. Turns go by ``turn`` (null first), then role and text, so repeated turn numbers and
+    The budget is for all turns of a window: the system turn, at most ``history_turns`` turns of at most ``history_tokens``
+    in all, and the new turns. The history gives way before the first new turn does. Turns are never cut, so a window
+    of one new turn, alone or after the system turn, may be above the budget; no other is. Marks of the template are not
+    counted. Windows begin anew every ``section`` turns, so a task holds no more than a section. Turns go by ``turn`` (null first), then role and text, so repeated turn numbers and
     repeated rows have a place each. Null roles and texts are empty; rows of a null ``conv_id`` are a conversation.
     The system turn is the first of that role; it is repeated only in windows after the one that holds it.
     """
@@ -145,12 +158,7 @@ def chat_windows(
     def build(before: list[dict], own: list[dict], system: dict | None) -> Iterator[tuple]:
         """The windows of one section's turns, in order."""
         rows, skip = [*before, *own], len(before)
-        for number, (a, b) in enumerate(_spans([r["tokens"] for r in own], budget)):
-            a, b = a + skip, b + skip
-            held, spent = a, 0
-            while held > 0 and a - held < history_turns and spent + rows[held - 1]["tokens"] <= history_tokens:
-                held -= 1
-                spent += rows[held]["tokens"]
+        for number, (held, a, b) in enumerate(_spans(rows, skip, budget, (history_turns, history_tokens), system)):
             shown = [(r, True) for r in rows[held:a]] + [(r, False) for r in rows[a:b]]
             if system is not None and system["seq"] < shown[0][0]["seq"]:
                 shown.insert(0, (system, True))

@@ -207,6 +207,21 @@ def test_quality_rules_do_not_depend_on_their_order(docs):
     assert [r.name for r in quality_rules.ordered(worth)] == ["many_symbols", "repeated_lines", "words_long_or_short"]
 
 
+def test_quality_rules_count_what_is_left(spark, docs):
+    rules = quality_rules.DEFAULT_RULES[:3]
+    cost = [quality_rules.Estimate(r, s, n) for r, s, n in zip(rules, (1.0, 1.0, 1.0), (60, 59, 20), strict=True)]
+    together = {0b000: 900, 0b011: 59, 0b001: 1, 0b100: 20}
+    assert [r.name for r in quality_rules.ordered(cost, together)] == ["words_long_or_short", "repeated_lines", "many_symbols"]
+    assert [r.name for r in quality_rules.ordered(cost)] == ["words_long_or_short", "many_symbols", "repeated_lines"]
+    estimates, sets = quality_rules.estimate(docs, quality_rules.DEFAULT_RULES, sample_rows=10**9)
+    table = quality_rules.measured(docs).filter(~quality_rules.base_failed())
+    assert sum(sets.values()) == table.count()
+    for e in estimates:
+        assert e.rejected == table.filter(e.rule.rejects()).count() and e.seconds > 0
+    large = quality_rules.estimate(docs, rules, sample_rows=5)[1]
+    assert sum(large.values()) < sum(sets.values()), "a sample below the table"
+
+
 def test_quality_rules_and_classifier_of_nothing(spark, nothing, docs):
     assert quality_rules.judge(nothing).collect() == []
     labels = spark.createDataFrame([], "doc_id long, quality int")
@@ -525,6 +540,7 @@ def test_chat_windows(spark, budget, section):
         assert len(new) == w.turns and [s.seq for s in w.spans] == sorted(s.seq for s in w.spans)
         texts = {s.seq: chat_format.unescape(w.text[s.start : s.end]) for s in w.spans}
         assert sum(len(words_of(texts[s.seq])) for s in new) <= budget or len(new) == 1
+        assert sum(len(words_of(t)) for t in texts.values()) <= budget or (len(new) == 1 and sum(s.repeated for s in w.spans) <= 1)
         assert sum(s.repeated for s in w.spans) <= 3
         assert {(x.start, x.end) for x in w.loss} <= {(s.start, s.end) for s in new}
     convs = collections.defaultdict(list)
@@ -538,3 +554,16 @@ def test_chat_windows(spark, budget, section):
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
         assert r.loss_sha256 == hashlib.sha256(target.encode()).hexdigest()
     assert chat_format.chat_windows(table.filter(F.lit(False))).collect() == []
+
+
+def test_chat_budget_holds_the_system_turn_and_history(spark):
+    turns = [(1, 0, "system", "s " * 40)] + [(1, i, "assistant" if i % 2 == 0 else "user", "w " * (3 + i % 5)) for i in range(1, 60)]
+    turns += [(2, 0, "system", "s " * 300)] + [(2, i, "user", "w " * 20) for i in range(1, 5)]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    found = chat_format.chat_windows(table, budget=100, history_turns=3, history_tokens=30).collect()
+    first = [w for w in found if w.conv_id == 1]
+    assert all(w.tokens <= 100 for w in first) and all(w.spans[0].seq == 1 for w in first), "the system turn is in every window"
+    assert sum(w.turns for w in first) == 60 and any(s.repeated and s.seq > 1 for w in first for s in w.spans)
+    # A system turn above the budget leaves room for one turn a window and for no history.
+    second = sorted((w.first_seq, w.tokens, len(w.spans)) for w in found if w.conv_id == 2)
+    assert second == [(1, 300, 1), (2, 320, 2), (3, 320, 2), (4, 320, 2), (5, 320, 2)]
