@@ -207,6 +207,25 @@ def test_family_hint_against_brute_force(spark, hot):
     assert got == want
 
 
+def test_family_hint_of_a_common_key_writes_no_pairs(spark, monkeypatch):
+    """300 sessions that share one key, some a second one: sets of keys are compared, not their holders."""
+    rows = [(f"s{i:03}", "h", k) for i in range(300) for k in ("all", f"own{i}", *(["few"] if i % 3 == 2 else []))]
+    held = spark.createDataFrame(rows, "session_id string, harness_id string, identity_key string")
+    staged = []
+
+    def counting(df, name, stage=G.stage):
+        out = stage(df, name)
+        staged.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "stage", counting)
+    got = {r.session_id: (r.with_session, r.shared_events, r.further_sessions) for r in G.family_hint(held, held, 8, bitmap_holders=150).collect()}
+    assert got == {
+        f"s{i:03}": (("s002" if i != 2 else "s005", 2, 298) if i % 3 == 2 else ("s000" if i else "s001", 1, 298)) for i in range(300)
+    }
+    assert max(staged) <= len(rows)
+
+
 # ---- merges ----
 
 MARK = "session_id string, state string, transitioned_at string, replica string"
