@@ -142,13 +142,47 @@ def occurrences(text: Column, term: str, word: bool = False) -> Column:
     return ((F.length(folded) - F.length(gone)) / F.lit(len(needle))).cast("int")
 
 
+# Characters of a text that are looked at as one array.
+WINDOW_CHARS = 1024
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, where a function over an array would compute it for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def term_positions(text: Column, term: str, word: bool = False) -> Column:
-    """1-based starts of all occurrences."""
+    """1-based starts of all occurrences. The work grows with the text: it is cut into windows of characters."""
     folded = _fold_word(text) if word else fold_case(text)
-    k = len(term)
-    last = F.length(folded) - k + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.filter(starts, lambda i: _stands_at(text, folded, term, i, word))
+    k, needle = len(term), fold_term(term).replace(KELVIN, "k") if word else fold_term(term)
+    # A window begins with the character before its first start and holds what an occurrence at its last one and the character after it take.
+    cut = f"(?s)(?=(.{{1,{WINDOW_CHARS + k + 1}}})).{{1,{WINDOW_CHARS}}}"
+    windows = lambda c: F.regexp_extract_all(F.concat(F.lit("\n"), F.coalesce(c, F.lit(""))), F.lit(cut), 1)
+    plain = lambda c: F.replace(c, F.lit(KELVIN), F.lit("k")) if word else c
+
+    def starts(window: Column, own: Column | None, j: Column) -> Column:
+        def in_window(chars: Column) -> Column:
+            def stands(i: Column) -> Column:
+                # a term whose lower case is longer matches nowhere
+                hit = F.lit(len(needle) == k)
+                for n, c in enumerate(needle[:k]):
+                    hit = hit & (chars[i + n] == F.lit(c))
+                if word and _is_word(term[0]):
+                    hit = hit & ~F.substring(own, i, F.lit(1)).rlike(WORD)
+                if word and _is_word(term[-1]):
+                    hit = hit & ~F.substring(own, i + k + 1, F.lit(1)).rlike(WORD)
+                return hit
+
+            last = F.least(F.lit(WINDOW_CHARS), F.size(chars) - k)
+            return F.transform(F.filter(F.sequence(F.lit(1), last), stands), lambda i: j * WINDOW_CHARS + i)
+
+        held = F.contains(plain(window), F.lit(needle))
+        return F.when(held & (F.length(window) > k), _let(F.split(plain(window), ""), in_window)).otherwise(F.array().cast("array<int>"))
+
+    if not word:
+        return F.flatten(F.transform(windows(folded), lambda w, j: starts(w, None, j)))
+    both = F.arrays_zip(windows(folded).alias("folded"), windows(text).alias("own"))
+    return F.flatten(F.transform(both, lambda w, j: starts(w["folded"], w["own"], j)))
 
 
 def _stands_at(text: Column, folded: Column, term: str, i: Column, word: bool) -> Column:
@@ -165,22 +199,22 @@ def _stands_at(text: Column, folded: Column, term: str, i: Column, word: bool) -
 
 
 def merge_ranges(ranges: Column) -> Column:
-    """Union of overlapping or touching ``struct<start,end>`` ranges, in order."""
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-
-    def step(acc: Column, r: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))
-        return (
-            F.when(F.size(acc) == 0, F.array(r))
-            .when(
-                r["start"] <= last["end"],
-                F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined)),
-            )
-            .otherwise(F.concat(acc, F.array(r)))
-        )
+    """Union of overlapping or touching ``struct<start,end>`` ranges, in order.
+
+    With starts and ends sorted each for itself, a union begins where a start lies behind all ends of the ranges begun before,
+    and ends with the end before the next such place.
+    """
+
+    def merged(starts: Column, ends: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), F.size(starts) - 1), lambda i: (i == 0) | (starts[i] > ends[F.greatest(i - 1, F.lit(0))]))
+        bound = lambda f: F.transform(f, lambda i, j: F.struct(
+            starts[i].alias("start"), ends[F.coalesce(F.get(f, j + 1), F.size(ends)) - 1].alias("end")
+        ))
+        return _let(firsts, bound)
 
-    return F.aggregate(F.array_sort(ranges), empty, step)
+    part = lambda name: F.array_sort(F.transform(ranges, lambda r: r[name]))
+    found = _let(part("start"), lambda starts: _let(part("end"), lambda ends: merged(starts, ends)))
+    return F.when(F.size(ranges) > 0, found).when(ranges.isNotNull(), F.array().cast("array<struct<start:int,end:int>>"))
 
 
 # ---- one-line forms ----

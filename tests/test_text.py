@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +182,26 @@ def test_final_sigma_is_sigma(spark):
     rows = spark.createDataFrame([("ΟΔΟΣΑ",), ("ΟΔΟΣ Α",), ("οδος",)], "t string")
     got = [(r.c, r.o) for r in rows.select(X.contains_term(F.col("t"), "ΟΔΟΣ").alias("c"), X.occurrences(F.col("t"), "οδος").alias("o")).collect()]
     assert got == [(True, 1)] * 3
+
+
+def test_positions_and_ranges_of_a_long_text(spark):
+    """A megabyte takes seconds, and nothing is lost where windows meet."""
+    text = "äna" * 341 + "ana" + "ba-Nana ana" * 40_000
+    low = text.lower()
+    ana = [i + 1 for i in range(len(low)) if low.startswith("ana", i)]
+    whole = [i for i in ana if (i == 1 or not low[i - 2].isalnum()) and not low[i + 2 : i + 3].isalnum()]
+    positions = F.concat(X.term_positions(F.col("t"), "ana"), X.term_positions(F.col("t"), "na "))
+    spans = X.merge_ranges(F.transform(positions, lambda s: F.struct(s.alias("start"), (s + 3).alias("end"))))
+    began = time.monotonic()
+    row = spark.createDataFrame([(text,)], "t string").select(
+        X.term_positions(F.col("t"), "ana").alias("a"), X.term_positions(F.col("t"), "ana", True).alias("w"), spans.alias("r")
+    ).first()
+    assert row.a == ana and row.w == whole
+    want = []
+    for s in sorted(ana + [i + 1 for i in range(len(low)) if low.startswith("na ", i)]):
+        if want and s <= want[-1][1]:
+            want[-1][1] = s + 3
+        else:
+            want.append([s, s + 3])
+    assert [[r.start, r.end] for r in row.r] == want
+    assert time.monotonic() - began < 60
