@@ -24,7 +24,7 @@ from lodestone.plans.registry import LINES_SQL, LOG_RUNS_SQL, LOG_SQL, TURNS_SQL
 from lodestone.plans.search_queries import _LABEL, _MARKED, _SUMMARY, archive_markers, log_runs, log_sessions, turns
 from lodestone.session import fresh_path, stage
 from lodestone.sources import claude, codex
-from lodestone.sources.jsonl import parsed, read_jsonl, revisions
+from lodestone.sources.jsonl import joined_parts, parsed, read_jsonl, revisions
 from lodestone.sources.projection import (
     current_pointer,
     export_sessions,
@@ -118,7 +118,7 @@ def transcript_events(spark, root):
 
 
 def written_transcripts(spark: SparkSession, root: str) -> str:
-    """The derived transcripts as JSONL files, one per conversation."""
+    """The derived transcripts as JSONL files, a folder per conversation."""
     out = fresh_path(spark, "transcripts")
     rows = claude_lines(spark, root).select(
         F.regexp_extract("file", r"([^/]+)\.jsonl$", 1).alias("conv"), "line", F.col("raw").alias("value")
@@ -130,7 +130,7 @@ def written_transcripts(spark: SparkSession, root: str) -> str:
 
 @query("jsonl_files", "SELECT CAST(conv_id AS VARCHAR) AS conv, turn + 1 AS line, 'u' || conv_id || '-' || turn AS uuid FROM conversations")
 def jsonl_files(spark, root):
-    got = read_jsonl(spark, written_transcripts(spark, root), "*.txt")
+    got = joined_parts(read_jsonl(spark, written_transcripts(spark, root), "*.txt"))
     return got.select(
         F.regexp_extract("file", "conv=([^/]+)/", 1).alias("conv"), "line",
         F.try_variant_get("value", "$.uuid", "string").alias("uuid"),
@@ -692,7 +692,7 @@ def stream_transcripts_query(spark, root):
     rows.repartitionByRange("conv", "line").sortWithinPartitions("conv", "line").select("conv", "value").write.partitionBy("conv").text(src)
 
     def normalize(found: DataFrame) -> DataFrame:
-        placed = found.withColumn("folder", F.lit("p")).withColumn("stem", F.regexp_extract("file", "conv=([^/]+)/", 1))
+        placed = joined_parts(found).withColumn("folder", F.lit("p")).withColumn("stem", F.regexp_extract("file", "conv=([^/]+)/", 1))
         return claude.normalize(placed.withColumn("bundle_path", F.lit(H.TRANSCRIPT)).withColumn("is_sub", F.lit(False)))
 
     ingest_transcripts(spark, src, f"{out}/t", f"{out}/c", normalize, files_per_batch=40, glob="*.txt", session_files="/[^/]+$")

@@ -83,6 +83,17 @@ def event_seq(lines: DataFrame, order: Sequence[str]) -> DataFrame:
     )
 
 
+def joined_parts(lines: DataFrame) -> DataFrame:
+    """Lines of the part files of a folder as lines of one file: those of a later part, by name, follow the earlier ones.
+
+    A file written by several tasks has several parts. A part should end in a line that ``lines`` holds, not in blank ones.
+    """
+    earlier = Window.partitionBy("_folder").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    ends = lines.groupBy(F.regexp_extract("file", "^(.*)/[^/]*$", 1).alias("_folder"), "file").agg(F.max("line").alias("_end"))
+    before = ends.select("file", F.coalesce(F.sum("_end").over(earlier), F.lit(0)).alias("_before"))
+    return lines.join(before, "file").withColumn("line", F.col("line") + F.col("_before")).drop("_before")
+
+
 def fingerprint_files(
     spark: SparkSession, paths: str | Sequence[str], glob: str | None = None, whole_bytes: int = WHOLE_FILE_BYTES
 ) -> DataFrame:

@@ -7,7 +7,9 @@ import random
 
 import pytest
 
-from lodestone.sources.jsonl import fingerprint_files
+from pyspark.sql import functions as F
+
+from lodestone.sources.jsonl import fingerprint_files, joined_parts, read_jsonl
 
 
 @pytest.mark.parametrize("whole", [0, 40, 1 << 30])
@@ -35,3 +37,15 @@ def test_compressed_files_are_refused_by_lines(spark, tmp_path):
     with pytest.raises(Exception, match="cannot be digested by lines"):
         fingerprint_files(spark, str(tmp_path), whole_bytes=0).collect()
     assert fingerprint_files(spark, str(tmp_path)).count() == 1
+
+
+def test_parts_of_a_transcript_are_one(spark, tmp_path):
+    """Lines are numbered through the parts that tasks wrote of one file."""
+    for conv, part, names in (("a", 0, "xy"), ("a", 1, "z"), ("a", 2, "vw"), ("b", 1, "q")):
+        folder = tmp_path / f"conv={conv}"
+        folder.mkdir(exist_ok=True)
+        (folder / f"part-0000{part}-u.txt").write_text("".join(f'{{"uuid":"{n}"}}\n' for n in names))
+    got = joined_parts(read_jsonl(spark, str(tmp_path), "*.txt")).select("file", "line", F.try_variant_get("value", "$.uuid", "string").alias("u"))
+    assert sorted((r.file.split("conv=")[1][0], r.line, r.u) for r in got.collect()) == [
+        ("a", 1, "x"), ("a", 2, "y"), ("a", 3, "z"), ("a", 4, "v"), ("a", 5, "w"), ("b", 1, "q")
+    ]
