@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # JSON objects with a repeated key keep the last value.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Folders of many small files are listed by so many tasks, not by one for each folder.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
 }
 
 

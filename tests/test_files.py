@@ -49,3 +49,16 @@ def test_parts_of_a_transcript_are_one(spark, tmp_path):
     assert sorted((r.file.split("conv=")[1][0], r.line, r.u) for r in got.collect()) == [
         ("a", 1, "x"), ("a", 2, "y"), ("a", 3, "z"), ("a", 4, "v"), ("a", 5, "w"), ("b", 1, "q")
     ]
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for i in range(100):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "f.txt").write_text("x\n")
+    context = spark.sparkContext
+    context.setJobGroup("listing", "listing")
+    assert fingerprint_files(spark, str(tmp_path), "*.txt").select("sha256").distinct().count() == 1
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert max(s.numTasks for s in stages if s) <= 64
