@@ -50,6 +50,9 @@ def _byte_chars() -> dict[int, str]:
 
 
 _BYTE_CHARS = _byte_chars()
+_SPACE = _BYTE_CHARS[32]
+_LATIN = re.compile("[\0-\u024f]+")
+_MARKS = ".,;:!?*#$%&|"
 
 
 class Encoder:
@@ -62,7 +65,7 @@ class Encoder:
     generations bound the cache.
     """
 
-    CACHED = 250_000
+    CACHED = 340_000  # what a dictionary of 2^19 slots holds; more would double it
     LONGEST = 64
     _cuts = re.compile(r"(?<=\S)(?=[ \n]\S)")
     _plain = re.compile(r"[ \n]\S+")
@@ -92,20 +95,34 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def letters(self, text: str) -> bytes:
-        """Bytes of a space or nothing and Latin letters, which the splitter leaves whole: the model alone is asked."""
-        spelled = text.encode().decode("latin-1").translate(_BYTE_CHARS)
-        return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+    def spelled(self, text: str) -> bytes:
+        """Bytes of one piece of the splitter, spelled in the model's characters: the model alone is asked."""
+        return array(self.code, [t.id for t in self.model.tokenize(text)]).tobytes()
+
+    def letters(self, lead: str, rest: str) -> bytes | None:
+        """Bytes of a space or nothing and Latin letters, which the splitter leaves whole; ``None`` of anything else."""
+        if not rest.isalpha():
+            return None
+        if rest.isascii():
+            return self.spelled(_SPACE + rest if lead else rest)
+        if not _LATIN.fullmatch(rest):
+            return None
+        return self.spelled((lead + rest).encode().decode("latin-1").translate(_BYTE_CHARS))
 
     def piece(self, piece: str) -> bytes:
         """Bytes of a piece after a space, or of one that begins with a line break; not looked up."""
-        lead, rest = ("\n", piece[1:]) if piece[0] == "\n" else (" ", piece)
-        if rest.isalpha() and max(rest) < "\u0250":
-            return self.cache["\n\n\n"] + self.letters(rest) if lead == "\n" else self.letters(" " + rest)
-        m = self._stem.fullmatch(rest)
-        if m:  # letters and a run of marks are split between them
-            return self.cache[m[1] if lead == " " else "\n" + m[1]] + self.cache["\n\n" + m[2]]
-        return self.whole(piece if lead == "\n" else " " + piece)
+        broken = piece[0] == "\n"
+        rest = piece[1:] if broken else piece
+        found = self.letters("" if broken else " ", rest)
+        if found is not None:
+            return self.cache["\n\n\n"] + found if broken else found
+        stem = rest.rstrip(_MARKS)
+        if not stem.isalpha():
+            m = self._stem.fullmatch(rest)
+            stem = m[1] if m else ""
+        if stem and len(stem) < len(rest):  # letters and a run of marks are split between them
+            return self.cache["\n" + stem if broken else stem] + self.cache["\n\n" + rest[len(stem) :]]
+        return self.whole(piece if broken else " " + piece)
 
     def encode(self, text: str) -> bytes:
         if not self.cut or not text:
@@ -141,17 +158,21 @@ class _Pieces(dict):
         super().__init__()
         self.encoder, self.old = encoder, {}
 
+    def asked(self, piece: str) -> bytes:
+        enc = self.encoder
+        if piece.isalpha() or piece[1:].isalpha() and not piece[0].isspace():  # no white space to look for
+            return enc.piece(piece)
+        if piece == "\n\n\n":
+            return enc.whole("\n")
+        bare = piece.lstrip("\n")
+        if bare.split() != [bare]:
+            raise IrregularSpaceError(piece)
+        return enc.whole(piece[2:]) if piece.startswith("\n\n") else enc.piece(piece)
+
     def __missing__(self, piece: str) -> bytes:
         found = self.old.get(piece)
         if found is None:
-            bare = piece.lstrip("\n")
-            if piece != "\n\n\n" and bare.split() != [bare]:
-                raise IrregularSpaceError(piece)
-            enc = self.encoder
-            if piece == "\n\n\n":
-                found = enc.whole("\n")
-            else:
-                found = enc.whole(piece[2:]) if piece.startswith("\n\n") else enc.piece(piece)
+            found = self.asked(piece)
         if len(piece) <= Encoder.LONGEST:
             if len(self) >= Encoder.CACHED:
                 self.old = dict(self)

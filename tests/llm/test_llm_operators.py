@@ -80,6 +80,28 @@ def test_encoder_equals_the_library():
         assert np.frombuffer(ours.encode(text)[:-2], "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_encoder_of_letters_and_marks_equals_the_library():
+    from tokenizers import Tokenizer
+
+    library, ours = Tokenizer.from_file(BPE), token_store.Encoder(BPE, 0)
+    rng = random.Random(2)
+    stems = ["the", "Zürich", "élan", "ñ", "ªº", "ɐ", "ɏ", "Ǆ", "中文", "a²", "½", "x_y", "don't", "'s", "v2", "", "a\u0301", "ß", "\u00a0", "\u0130"]
+    marks = ["", "", ".", ",", "!!", "###", ".'", "…", "|x", "-", "&*$"]
+    for _ in range(3000):
+        text = "".join(rng.choice(["", " ", "\n", " \n"] if rng.random() < 0.1 else [" ", " ", "\n"]) + rng.choice(stems) + rng.choice(marks) for _ in range(rng.randrange(12)))
+        assert np.frombuffer(ours.encode(text)[:-2], "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_encoder_keeps_the_pieces_of_a_large_task():
+    """300,000 pieces, as a task of some thousand documents has, are asked for once."""
+    enc, asked = token_store.Encoder(BPE, 0), []
+    enc.piece = lambda piece: asked.append(piece) or b""
+    for _ in range(2):
+        for k in range(300_000):
+            enc.cache[f"p{k}"]
+    assert len(asked) == 300_000
+
+
 def test_token_blocks_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
