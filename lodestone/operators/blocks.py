@@ -19,6 +19,7 @@ from lodestone.session import stage
 BLOCK_ROWS = 16_384
 # Ranges of dense_seq: rows each should hold, and up to how many their offsets are sent to every task.
 RANGE_ROWS = 4_000_000
+ORDERED_ROWS = 1_000_000  # the same where there are no keys
 BROADCAST_RANGES = 50_000
 
 
@@ -41,15 +42,18 @@ def dense_seq(
     partition can have such an offset, so offsets have at most one row per
     partition; up to ``BROADCAST_RANGES`` they are broadcast. The number of ranges follows the number of
     rows, so a range stays small however wide the session's shuffles are set.
+    Without keys the ranges are staged in order, and a row's place in its range is its number: no task takes several ranges.
     """
     if parts is None:
         fewest = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        parts = max(fewest, -(-df.count() // RANGE_ROWS))
+        parts = max(fewest, -(-df.count() // (RANGE_ROWS if keys else ORDERED_ROWS)))
     ranged = df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
+    if not keys:
+        return _numbered_ranges(ranged.sortWithinPartitions(*order), out)
     ranged = stage(ranged.withColumn("_part", F.spark_partition_id()), "ranged")
     local = Window.partitionBy(*keys, "_part").orderBy(*order)
     counts = ranged.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
-    before = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_part")
+    before = Window.partitionBy(*keys).orderBy("_part")
     offsets = (
         counts.withColumn("_before", F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)))
         .filter("_before is not null")
@@ -63,6 +67,21 @@ def dense_seq(
     )
 
 
+def _numbered_ranges(ranged: DataFrame, out: str) -> DataFrame:
+    """Ranges sorted within and among each other, numbered through: the ids Spark deals are partition * 2^33 + place."""
+    placed = stage(ranged.withColumn("_id", F.monotonically_increasing_id()), "ranged")
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return (
+        placed.withColumn("_part", part)
+        .join(F.broadcast(offsets), "_part")
+        .withColumn(out, place + F.col("_before") + 1)
+        .drop("_id", "_part", "_before")
+    )
+
+
 def running_sum(
     df: DataFrame, keys: Sequence[str], seq: str, value: Column, out: str, rows: int = BLOCK_ROWS
 ) -> DataFrame:

@@ -270,7 +270,7 @@ def adopt_ledger(
 
     New epochs follow the target's last one and its store's ``marker``, whichever is larger.
     """
-    incoming = tombstones(events_beyond(source, target), live_in_target).select(*LEDGER_KEY)
+    incoming = stage(tombstones(events_beyond(source, target), live_in_target).select(*LEDGER_KEY), "incoming")
     top = target.agg(F.coalesce(F.max("epoch"), F.lit(0)).alias("m"))
     after = F.greatest(top.scalar(), F.lit(marker).cast("long"))
     return merge_ledger(target, renumbered(incoming, after).select(*LEDGER_KEY))

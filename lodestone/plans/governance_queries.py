@@ -76,14 +76,21 @@ def monotonic_latest(spark, root):
 # ---- deletion ledgers: line items, the returned ones being local ----
 
 
+LEDGER_ROWS = 1_000_000
+
+
 def ledgers(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    li = read_table(spark, root, "lineitem").select(
+    """Both sides, dealt by whole event to partitions of about ``LEDGER_ROWS`` line items, in which they are also compared."""
+    items = read_table(spark, root, "lineitem")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-items.count() // LEDGER_ROWS))
+    li = items.select(
         F.col("l_orderkey").cast("string").alias("unit"),
         F.col("l_linenumber").cast("long").alias("epoch"),
         F.date_format("l_shipdate", DAY).alias("deleted_at"),
         F.col("l_suppkey").cast("string").alias("replica"),
         (F.col("l_returnflag") == "A").alias("is_local"),
-    ).distinct()
+    )
+    li = li.repartition(parts, *M.LEDGER_KEY).distinct()
     return li.filter("is_local").drop("is_local"), li.filter("not is_local").drop("is_local")
 
 

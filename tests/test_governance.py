@@ -254,3 +254,28 @@ def test_secret_hits_never_show_the_secret(spark):
     hits = U.secret_hits(lines, F.col("text")).collect()
     assert [(h.rule_id, h.source_cursor) for h in hits] == [("labelled-token", "line:1")]
     assert body not in hits[0].preview and hits[0].preview == 'token = "…'
+
+
+def test_ledger_partitions_follow_the_line_items(spark, monkeypatch):
+    """A task takes some of the events, however few partitions the session's shuffles have, also where the sides are compared."""
+    from lodestone.plans import governance_queries as G
+
+    root = "/root/testdata/sf0.001"
+    expected = {tuple(r) for r in M.events_beyond(*G.ledgers(spark, root)).collect()}
+    items = spark.read.parquet(f"{root}/lineitem.parquet").count()
+    monkeypatch.setattr(G, "LEDGER_ROWS", 100, raising=False)
+    beyond = M.events_beyond(*G.ledgers(spark, root))
+    assert beyond.rdd.getNumPartitions() >= items // 100
+    assert {tuple(r) for r in beyond.collect()} == expected
+
+
+def test_events_are_numbered_in_their_ranges(spark):
+    """Ranges keep to themselves: none is shuffled again, where several could meet in one task, to be numbered."""
+    from lodestone.operators.blocks import dense_seq
+
+    rows = spark.createDataFrame([((k * 7919) % 1000 // 3, k) for k in range(1000)], "a int, b int")
+    numbered = dense_seq(rows, [], ["a", "b"], "n", 9)
+    assert "row_number" not in numbered._jdf.queryExecution().toString()
+    got = sorted((r.n, r.a, r.b) for r in numbered.collect())
+    assert got == [(i, *row) for i, row in enumerate(sorted(((k * 7919) % 1000 // 3, k) for k in range(1000)), 1)]
+    assert dense_seq(rows.limit(0), [], ["a", "b"], "n").collect() == []
