@@ -125,7 +125,9 @@ def collapse_copies(matches: DataFrame, families: DataFrame, first_seen: DataFra
     ``copy_key`` set where copies were dropped, and the rows that were dropped.
     """
     held = lookup(matches, families.select("session_id", "family_key"), ["session_id"])
-    held = lookup(held, first_seen.select("session_id", "first_timestamp"), ["session_id"])
+    # a session listed twice must not bring its events twice
+    seen = first_seen.groupBy("session_id").agg(F.min("first_timestamp").alias("first_timestamp"))
+    held = lookup(held, seen, ["session_id"])
     shared = (
         held.filter(F.col("family_key").isNotNull() & F.col("identity_key").isNotNull())
         .groupBy("family_key", "identity_key")

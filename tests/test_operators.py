@@ -316,3 +316,24 @@ def test_json_forms(spark):
     assert df.select(doc.alias("d")).first().d == '{"id":"s","n":0}'
     entries = F.create_map(F.lit("b\""), F.lit("1"), F.lit("a"), F.lit("{}"), F.lit("z"), F.lit("2"))
     assert df.select(canonical_json(entries, ["z"]).alias("d")).first().d == '{"z":2,"a":{},"b\\"":1}'
+
+
+def test_copies_among_odd_documents_as_in_sql(spark, tmp_path):
+    """Documents without text or language, and rows that came twice, count as the SQL counts them."""
+    duckdb = pytest.importorskip("duckdb")
+    from lodestone.plans import family_queries, more_queries  # noqa: F401
+    from lodestone.plans.registry import QUERIES, SQL
+
+    rows = [
+        (1, "", "en", "s1"), (2, "", "en", "s2"), (3, None, "en", "s1"), (4, "", "de", "s1"), (5, "a mention", None, "s1"), (6, "a mention", None, "s2"),
+        (7, "station", "en", None), (8, "station", "en", "s9"), (9, "station", "de", "s9"), (10, "twice", "en", "s1"), (10, "twice", "en", "s1"),
+        (11, "again", "en", "s3"), (11, "again", "en", "s1"), (12, "again", "en", "s2"),
+    ]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("collapse_copies", "search_with_families"):
+        got = QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"select {', '.join(got.columns)} from ({SQL[name]})").fetchall()
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)), name
