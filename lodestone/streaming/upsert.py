@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.session import stage
-from lodestone.sources.jsonl import read_jsonl
+from lodestone.sources.jsonl import parsed, read_lines
 
 BUCKETS = 256
+# Files of a batch at most, when batches have grown: their names pass through the driver.
+BATCH_FILES = 10_000
 
 
 def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
@@ -109,11 +111,14 @@ def ingest_transcripts(spark: SparkSession, folder: str, table: str, state: str,
     """Bring the versioned ``table`` up to the transcripts in ``folder``; returns how many sessions had changed.
 
     The listing is compared with the one kept in ``state``: sessions with a new, grown, changed or missing file are read
-    again whole, all their files in one batch of about ``files_per_batch`` files, so the table does not depend on how
-    files fell into batches. The state is written after a batch is published; a broken run repeats it. A session all
-    of whose files are gone keeps its last version.
+    again whole, all their files in one batch, so the table does not depend on how files fell into batches. The first
+    batch has about ``files_per_batch`` files, each further one twice as many as the one before, up to ``BATCH_FILES``: a
+    batch takes seconds whatever it holds, so their number must not follow that of the files. The state is written after a
+    batch is published; a broken run repeats it, which is no more than was done before or that bound. A session all of
+    whose files are gone keeps its last version.
     """
-    files = stage(listed_files(spark, folder, glob, session_files), "listing")
+    # a scan of small files has a task for a few of them each, and would stage as many files again
+    files = stage(listed_files(spark, folder, glob, session_files).hint("rebalance"), "listing")
     now = files.groupBy("key").agg(F.count("*").alias("files"), F.sum(F.col("mark").cast("decimal(38,0)")).alias("marks"))
     last = -1
     if _exists(spark, state):
@@ -123,15 +128,19 @@ def ingest_transcripts(spark: SparkSession, folder: str, table: str, state: str,
         now = now.join(kept, ["key", "files", "marks"], "left_anti")
     changed = stage(now, "changed")
     found, total = changed.agg(F.count("*"), F.sum("files")).first()
-    batches = max(1, -(-(total or 0) // files_per_batch))
-    for i in range(batches if found else 0):
-        part = changed.filter(F.pmod(F.xxhash64("key"), F.lit(batches)) == i)
-        # names of about files_per_batch files
+    # one share of the sessions has about files_per_batch files
+    shares, done, taken = -(-(total or 0) // files_per_batch), 0, 1
+    while done < shares:
+        share = F.pmod(F.xxhash64("key"), F.lit(shares))
+        part = changed.filter((share >= done) & (share < done + taken))
+        done, taken = done + taken, min(2 * taken, max(1, BATCH_FILES // files_per_batch))
         paths = [r.path for r in files.join(part, "key", "left_semi").select("path").collect()]
         if not paths:
             continue
         last += 1
-        rows = normalize(read_jsonl(spark, paths, glob)).withColumn(GENERATION, F.lit(last).cast("long"))
+        # small files are opened here, and not again wherever their lines are needed
+        lines = stage(read_lines(spark, paths, glob).hint("rebalance"), "lines")
+        rows = normalize(parsed(lines)).withColumn(GENERATION, F.lit(last).cast("long"))
         publish(spark, table, rows, GENERATION, last)
         part.write.mode("overwrite").parquet(f"{state}/batch={last}")
     return found

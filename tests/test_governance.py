@@ -228,6 +228,21 @@ def test_transcripts_do_not_depend_on_batches(spark, tmp_path, files_per_batch):
     assert seen() == [*first[:2], first[3], ("b", "b.jsonl", 2, False), ("c", "c.jsonl", 1, False)]
 
 
+@pytest.mark.parametrize(("most", "batches"), [(10_000, 4), (4, 5)])
+def test_batches_of_transcripts_grow(spark, tmp_path, monkeypatch, most, batches):
+    """Twelve files from one a batch on: 1, 2, 4 and the rest, or never more than ``most``."""
+    from lodestone.streaming import upsert
+
+    monkeypatch.setattr(upsert, "BATCH_FILES", most, raising=False)
+    (tmp_path / "in").mkdir()
+    for i in range(12):
+        (tmp_path / "in" / f"{i}.jsonl").write_text('{"n":1}\n')
+    table, state = str(tmp_path / "t"), str(tmp_path / "state")
+    assert ingest_transcripts(spark, str(tmp_path / "in"), table, state, _normalize, files_per_batch=1) == 12
+    assert sorted(int(r.session_id) for r in transcripts(spark, table).collect()) == list(range(12))
+    assert len(list((tmp_path / "t" / "rows").glob("batch=*"))) <= batches
+
+
 def test_versions_may_come_in_any_batches(spark, tmp_path):
     rows = [("a", 1, "x"), ("a", 2, "y"), ("a", 2, "z"), ("b", 5, "u"), ("b", 3, "v"), ("b", 5, "w")]
     for name, cuts in (("one", [rows]), ("many", [[r] for r in rows]), ("back", [[r] for r in rows[::-1]])):
