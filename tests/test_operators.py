@@ -337,3 +337,38 @@ def test_copies_among_odd_documents_as_in_sql(spark, tmp_path):
         got = QUERIES[name](spark, str(tmp_path))
         want = con.execute(f"select {', '.join(got.columns)} from ({SQL[name]})").fetchall()
         assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)), name
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    """Else they stay until the driver collects garbage."""
+    import re
+    import time
+
+    from lodestone.session import stage
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", disk.getAllFiles().mkString("\n")))
+    before = names()
+    staged = stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")), "counted")
+    ends = time.time() + 20
+    while (left := names() - before) and time.time() < ends:  # executors delete them a little later
+        time.sleep(0.2)
+    assert not left
+    assert sorted((r.k, r.n) for r in staged.collect()) == [(k, 143 if k < 6 else 142) for k in range(7)]
+
+
+def test_family_hint_keeps_keys_with_partners_only(spark, monkeypatch):
+    """Keys of one holder are not staged again, and keys with the same holders are paired once."""
+    rows = [(s, "h", f"{s}-{i}") for s in "abcdef" for i in range(9)] + [(s, "h", f"shared-{i}") for s in "abc" for i in range(5)] + [("d", "h", "shared-0")]
+    held = spark.createDataFrame(rows, "session_id string, harness_id string, identity_key string")
+    sizes, staged = {}, G.stage
+
+    def counted(df, name):
+        out = staged(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(G, "stage", counted)
+    got = {r.session_id: (r.with_session, r.shared_events, r.total_events, r.further_sessions) for r in G.family_hint(held, held).collect()}
+    assert got == {"a": ("b", 5, 14, 2), "b": ("a", 5, 14, 2), "c": ("a", 5, 14, 2), "d": ("a", 1, 10, 2)}
+    assert sizes["known"] == 16 and sizes["few-holders"] == 5
